@@ -6,13 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkgauge.llm.decontaminate import overlaps
 from talkgauge.llm.language_id import language_id
+from talkgauge.llm.licenses import scan
 from talkgauge.llm.packing import pack
 from talkgauge.llm.pii import KINDS, pseudonymize
 from talkgauge.llm.simhash import near_duplicates
 from talkgauge.llm.token_counts import token_counts
 from talkgauge.llm.url_filter import filter_urls
 from talkgauge.llm.va_file import top_k
+from talkgauge.llm.warc import archive_round_trip
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -44,6 +47,15 @@ def op4_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = archive_round_trip(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -52,6 +64,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_diff=2)
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
