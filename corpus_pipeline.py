@@ -1,23 +1,68 @@
-"""A training-corpus pipeline over ``documents``: each stage calls one operator of talkgauge.llm."""
+"""A training-corpus pipeline over ``documents``: five stages, each one operator of talkgauge.llm.
+
+Every stage but the last returns the columns of ``documents``, so its result can be written and read
+again as the next one's input. ``run`` does that in the shared folder.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from talkgauge.llm.common import materialize
+from talkgauge.llm.decontaminate import drop_contaminated
+from talkgauge.llm.language_id import UNDETERMINED
+from talkgauge.llm.language_id import language_id as identify
 from talkgauge.llm.packing import pack
-from talkgauge.llm.queries import TOKENIZER
+from talkgauge.llm.pii import pseudonymize
+from talkgauge.llm.queries import PII_KEY, TOKENIZER
+from talkgauge.llm.simhash import near_duplicates
+
+#: A row of the documents table, also where ids are null or repeated.
+ROW = "talkgauge_row"
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a language: null, blank or without any letter."""
+    return identify(docs).filter(F.col("lang_pred") != UNDETERMINED).select(docs.columns)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of near-duplicates the document with the smallest id, and one row of it."""
+    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
+    groups = near_duplicates(rows.withColumn(ROW, F.struct("doc_id", ROW)), shingle=3, max_diff=2, doc_id=ROW)
+    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col(f"doc_id.{ROW}").alias(ROW))
+    return rows.join(gone, ROW, "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that overlap a benchmark item."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal numbers, dates and addresses in the texts; n_chars follows the text."""
+    changed = F.aggregate(F.map_values("pii_counts"), F.lit(0), lambda total, n: total + n) > 0
+    replaced = pseudonymize(docs, PII_KEY)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        replaced = replaced.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return replaced.select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, in sequences of 2,048."""
     return pack(docs, TOKENIZER)
 
 
-STAGES = [("packing", packing)]
+STAGES = [("language_id", language_id), ("simhash_dedup", simhash_dedup), ("decontamination", decontamination), ("pii", pii), ("packing", packing)]
+
+#: SQL has neither the classifier nor the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -199,10 +199,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     """The documents, all columns as they are, without those that overlap an item."""
     small_batches(docs.sparkSession)
     for block in _blocks(benchmark, item_id, item_text, block_items):
+        docs = docs.filter(_clean(block)(F.col(text)))
+    return docs
 
-        @F.arrow_udf(T.BooleanType())
-        def clean(texts: pa.Array, items=block) -> pa.Array:
-            return pa.array([not each for each in items.value.groups(texts.to_pylist())], pa.bool_())
 
-        docs = docs.filter(clean(F.col(text)))
-    return docs
+def _clean(block):
+    @F.arrow_udf(T.BooleanType())
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array([not each for each in block.value.groups(texts.to_pylist())], pa.bool_())
+
+    return clean
