@@ -36,7 +36,8 @@ def weights(language: str) -> dict[str, float]:
 
 @dataclass(frozen=True)
 class Settings:
-    """One language's rules. ``legacy_keywords`` scores English against the Chinese keywords, as the original rules do."""
+    """One language's rules. ``legacy_keywords`` scores English against the Chinese keywords, as the original rules do;
+    without ``use_rouge`` the sequence metric, which costs the product of both lengths, is left out of the score."""
 
     language: str = "ENG"
     threshold: float | None = None
@@ -48,6 +49,7 @@ class Settings:
     include_system_audio: bool = False
     early_exit: float = 0.9
     legacy_keywords: bool = False
+    use_rouge: bool = True
     split_before_clean: bool = False
     legacy_nan_text: bool = False
     boosts: dict[str, tuple[float, float]] | None = None

@@ -44,23 +44,23 @@ def join_sheet(groups: DataFrame, scripts: DataFrame, n_texts: int | None = None
 def metrics(settings: Settings, script: str = "s", group: str = "g", cosine: Column | None = None) -> Column:
     """The metrics of a pair and their weighted score, as one struct.
 
-    ``cosine`` is the semantic or TF-IDF cosine; without any the other weights are scaled up to the sum of all.
+    ``cosine`` is the semantic or TF-IDF cosine; without one its part of the score is 0.
     """
     language = settings.language
     col = lambda side, name: F.col(f"{side}_{name}")
     overlap = (s.overlap_max if language == "CAN" else s.jaccard)(col(script, "tokens"), col(group, "tokens"))
-    rouge = s.rouge_l(col(script, "clean"), col(group, "clean"))
+    rouge = s.rouge_l(col(script, "clean"), col(group, "clean")) if settings.use_rouge else F.lit(0.0)
     keywords = s.keyword_coverage(col(script, "words"), col(group, "words"), settings.keywords)
     score = s.weighted(language, F.lit(0.0) if cosine is None else cosine, overlap, rouge, keywords)
     return F.struct((F.lit(0.0) if cosine is None else cosine).alias("semantic"), overlap.alias("expanded_overlap"), rouge.alias("rouge_l"), keywords.alias("keyword_coverage"), score.alias("score"))
 
 
-def pairwise(groups: DataFrame, points: DataFrame, settings: Settings, embedder: Embedder | None = None) -> DataFrame:
+def pairwise(groups: DataFrame, points: DataFrame, settings: Settings, embedder: Embedder | None = None, cosines: DataFrame | None = None) -> DataFrame:
     """One row for each group and point of its sheet: scores, match type and best variation.
 
     ``groups``: call_id, group_id, sheet, speaker, text; ``points``: sheet, point, point_order, scripts, variations, holistic.
     MAN and ENG take the holistic match if its boosted score reaches the threshold, and look at variations only if it doesn't;
-    CAN looks at both and boosts the winner. The holistic match wins only if it is strictly better; of equal variations the first wins.
+    CAN looks at both and boosts the winner. ``cosines`` (call_id, group_id, point, pos, cosine), CAN's TF-IDF, take the place of vectors. The holistic match wins only if it is strictly better; of equal variations the first wins.
     """
     cosine = s.cosine(F.col("s_vector"), F.col("g_vector")) if embedder else None
     left = features(groups.select("call_id", "group_id", "sheet", "speaker", "text"), "text", "g", settings, embedder)
@@ -68,6 +68,9 @@ def pairwise(groups: DataFrame, points: DataFrame, settings: Settings, embedder:
     texts = points.select("sheet", "point", "point_order", F.size("variations").cast("long").alias("all_variations_count"), p.dynamic_boost(F.col("point"), F.array_join("scripts", " ")).alias("dynamic_boost"), F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("pos"), F.col("holistic").alias("script"))), F.transform("variations", lambda v, i: F.struct(i.alias("pos"), v.alias("script"))))).alias("v"))
     texts = features(texts.select("*", "v.pos", "v.script").drop("v"), "script", "s", settings, embedder)
     rows = join_sheet(left, texts, texts.count())
+    if cosines is not None:
+        rows = rows.join(cosines, ["call_id", "group_id", "point", "pos"], "left")
+        cosine = F.coalesce("cosine", F.lit(0.0))
     added = p.boost(F.col("point"), F.col("g_date"), F.col("g_number"), F.col("dynamic_boost"), settings.point_boosts)
     kept = ["call_id", "group_id", "sheet", "speaker", "text", "g_words", "point", "point_order", "all_variations_count", "dynamic_boost", "pos", "script", "s_words"]
     rows = rows.select(*kept, added.alias("added"), metrics(settings, cosine=cosine).alias("m"))
