@@ -30,6 +30,8 @@ GROUP_CHARS = 1_000_000
 MARKS = string.punctuation.replace("'", "")
 #: Letters below this code point stay single letters when lower-cased and composed.
 LATIN_END = "\u0130"
+#: For Latin-1 texts: m for each mark (all but letters, digits and white space), x for all else.
+_MARKED = bytes(0x6D if not chr(c).isalnum() and (not chr(c).isspace() or 0x1C <= c <= 0x1F) else 0x78 for c in range(256))
 #: Words handed to the tokenizer at a time.
 CHUNK = 2_000
 
@@ -94,6 +96,9 @@ class WordEncoder:
         for word in missing:
             if word in old:
                 continue
+            if word.isalpha() and word.islower() and (word.isascii() or max(word) < LATIN_END):
+                letters.add(word)
+                continue
             base = word.rstrip(MARKS)
             if not base.isalpha() or not base.isascii() and max(base) >= LATIN_END:
                 plain.append(word)
@@ -127,8 +132,23 @@ class WordEncoder:
         if len(self._young) > self._memo_words:
             self._old, self._young = self._young, {"": b""}
 
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        """Pieces of the text that pre-tokens don't cross.
+
+        In Latin-1 prose these are lower-case words with commas and stops apart. Marks in a row are one pre-token, so a text
+        that has any is split at white space alone, as is one with letters whose number may change when they are lower-cased.
+        """
+        try:
+            plain = b"mm" not in text.encode("latin-1").translate(_MARKED)
+        except UnicodeEncodeError:
+            plain = False
+        if plain:
+            text = text.lower().replace(",", " ,").replace(".", " .")
+        return text.replace("\n", " ").split(" ")
+
     def _group(self, texts: list[str]) -> Iterator[bytes]:
-        split = [text.replace("\n", " ").split(" ") for text in texts]
+        split = list(map(self._split, texts))
         missing = list({word for words in split for word in set(words).difference(self._young)})
         learnt = self._learn(missing)
         get = self._young.__getitem__
