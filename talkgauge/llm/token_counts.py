@@ -22,7 +22,7 @@ from talkgauge.llm.common import materialize, small_batches
 from talkgauge.llm.tokens import encoder
 
 #: Lengths in one block of the two-level suffix sum: one sum runs inside blocks, one over block totals.
-BLOCK = 4_096
+BLOCK = 256
 
 
 def token_lengths(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
