@@ -37,6 +37,8 @@ MIN_ITEM = 5
 BLOCK_ITEMS = 20_000
 #: Characters of texts that are hashed together.
 GROUP_CHARS = 500_000
+#: Hits that are made distinct together.
+HITS = 1_000_000
 _SUBSTITUTION = -2
 _WORD = re.compile(r"[^\W_]+")
 _FILTER_BITS = 22
@@ -96,17 +98,29 @@ class Items:
         self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
         self.filter[self.keys >> np.uint64(64 - _FILTER_BITS)] = True
 
-    def _hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where in the joined texts, and which places of items."""
-        at, found = [], []
+    def _alignments(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Distinct (text, item, shift) of all hits: an item that begins at a text's word shift. Repetitive
+        texts hit a place many times over, so hits are made distinct in portions of a fixed size."""
+        longest = max(map(len, self.items))
+        reach = len(ids) + longest + 1
+        distinct = np.zeros(0, np.int64)
         for number, mask in enumerate(self.masks):
             keys = _keys(ids, mask, number)
             some = np.flatnonzero(self.filter[keys >> np.uint64(64 - _FILTER_BITS)])
             first = np.searchsorted(self.keys, keys[some], "left")
             n = np.searchsorted(self.keys, keys[some], "right") - first
-            at.append(np.repeat(some, n))
-            found.append(np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()))
-        return np.concatenate(at), np.concatenate(found)
+            some, first, n = some[n > 0], first[n > 0], n[n > 0]
+            portion = np.cumsum(n) // HITS
+            for part in np.split(np.arange(len(some)), np.flatnonzero(np.diff(portion)) + 1):
+                at, size = some[part], n[part]
+                found = np.repeat(first[part] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                at = np.repeat(at, size)
+                text = np.searchsorted(starts, at, "right") - 1
+                item, place = self.places[found].T
+                codes = (text * len(self.items) + item) * reach + (at - starts[text] - place + longest)
+                distinct = np.union1d(distinct, codes)
+        pair, shift = np.divmod(distinct, reach)
+        return np.stack([pair // len(self.items), pair % len(self.items), shift - longest], axis=1)
 
     def _best(self, text: np.ndarray, item: int, shift: int) -> Overlap | None:
         ids = self.items[item]
@@ -134,14 +148,8 @@ class Items:
             parts += [part, gap]  # no seed can span two texts, since both its ends count
             n += len(part) + self.span
         joined = np.concatenate(parts)
-        at, found = self._hits(joined)
-        if not len(at):
-            return out
-        starts = np.array(starts)
-        text = np.searchsorted(starts, at, "right") - 1
-        item, place = self.places[found].T
         best: dict[tuple[int, int], Overlap] = {}
-        for t, i, shift in np.unique(np.stack([text, item, at - starts[text] - place], axis=1), axis=0).tolist():
+        for t, i, shift in self._alignments(joined, np.array(starts)).tolist():
             overlap = self._best(parts[2 * t], i, shift)
             if overlap and (overlap.matched > best[t, i].matched if (t, i) in best else True):
                 best[t, i] = overlap

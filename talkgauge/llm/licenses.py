@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkgauge.llm.common import lower_ascii
+from talkgauge.llm.common import lower_ascii, materialize
 
 SHINGLE = 5
 PER_WINDOW = 2
@@ -87,22 +87,32 @@ def template_bands(table: DataFrame) -> DataFrame:
     return both.select(_band(F.col("first"), F.col("second"), F.col("number")).alias("band"), "template_id", "first", "second", "shingles")
 
 
+def text_bands(rows: DataFrame, *kept: str) -> DataFrame:
+    """The bands of all windows of the rows' words, with both shingles and the columns to keep."""
+    rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).withColumn("n", F.size("words"))
+    starts = F.when(F.col("n") >= SHINGLE, F.sequence(F.lit(0), F.col("n") - SHINGLE, F.lit(PER_WINDOW)))
+    windows = rows.select(*kept, "hashes", "n", F.explode(starts).alias("start"))
+    windows = windows.select(*kept, *(_shingle_hash(F.col("hashes"), F.col("start") + i, F.col("n")).alias(f"h{i}") for i in range(PER_WINDOW)))
+    banded = windows.select(*kept, "h0", "h1", F.explode(F.sequence(F.lit(1), F.lit(BANDS))).alias("number"))
+    return banded.select("*", _band(F.col("h0"), F.col("h1"), F.col("number")).alias("band"))
+
+
+def _first_of_equal() -> Column:
+    """Of windows that agree in all bands the first band is enough."""
+    return (F.col("number") == 1) | ~(F.col("h0").eqNullSafe(F.col("t_first")) & F.col("h1").eqNullSafe(F.col("t_second")))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, doc_id: str = "doc_id", text: str = "text", min_containment: float = MIN_CONTAINMENT, broadcast_bands: int = BROADCAST_BANDS) -> DataFrame:
     """``doc_id, template_id, n_shingles, found_shingles, containment`` for each template that a document holds."""
     table = template_table(docs.sparkSession, TEMPLATES if templates is None else templates)
     bands = template_bands(table).toDF("band", "template_id", "t_first", "t_second", "shingles")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("words"))
     if bands.count() <= broadcast_bands:
-        bands = F.broadcast(bands)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("words"))
-    rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    starts = F.when(F.size("words") >= SHINGLE, F.sequence(F.lit(0), F.size("words") - SHINGLE, F.lit(PER_WINDOW)))
-    windows = rows.select("doc_id", "words", "hashes", F.explode(starts).alias("start"))
-    n = F.size("words")
-    windows = windows.select("doc_id", "words", *(_shingle_hash(F.col("hashes"), F.col("start") + i, n).alias(f"h{i}") for i in range(PER_WINDOW)))
-    banded = windows.select("doc_id", "words", "h0", "h1", F.explode(F.sequence(F.lit(1), F.lit(BANDS))).alias("number"))
-    banded = banded.select("doc_id", "words", "h0", "h1", "number", _band(F.col("h0"), F.col("h1"), F.col("number")).alias("band"))
-    same = F.col("h0").eqNullSafe(F.col("t_first")) & F.col("h1").eqNullSafe(F.col("t_second"))
-    hits = banded.join(bands, "band").filter((F.col("number") == 1) | ~same)  # windows that agree in all bands are verified once
+        hits = text_bands(rows, "doc_id", "words").join(F.broadcast(bands), "band").filter(_first_of_equal())
+    else:  # a text isn't shuffled with each of its bands: only rows and templates that meet are joined with it
+        rows = materialize(rows, "texts")
+        met = text_bands(rows, "row").join(bands.drop("shingles"), "band").filter(_first_of_equal()).select("row", "template_id").distinct()
+        hits = rows.join(met, "row").join(table.select("template_id", "shingles"), "template_id")
     whole = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     found = hits.select("doc_id", "template_id", F.size("shingles").alias("n_shingles"), whole.alias("whole"), "shingles")
     found = found.select("doc_id", "template_id", "n_shingles", F.size(F.filter("shingles", lambda s: F.contains(F.col("whole"), s))).alias("found_shingles"))

@@ -10,8 +10,8 @@ comes from a table of digests that occur more than once, so that payloads are sh
 Reading: each archive file is parsed by the records' lengths, never by what looks like an end. Records
 then meet by the transaction they belong to and become one nested row for each capture.
 
-A null payload is the empty payload. A null id or URL stays null. Rows that share an id and a payload count as pages
-of their own: the last in order of reading is the response. An empty table makes empty archives and no captures. Other columns are ignored.
+A null payload is the empty payload. A null id or URL stays null. Repeated rows count as pages
+of their own; rows that share the largest id of a payload are all responses. An empty table makes empty archives and no captures. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,9 +58,10 @@ def _record(kind: Column, record_id: Column, headers: list[Column], content_type
 
 
 def repeated_payloads(pages: DataFrame) -> DataFrame:
-    """``digest, response``: for digests that several pages have, the page (id and row) that is the response."""
-    counts = pages.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "row")).alias("response"))
-    return counts.filter("n > 1").select("digest", "response")
+    """``digest, response, n_same``: for digests that several rows have, the largest page id and how many of the rows have it."""
+    ids = pages.groupBy("digest", "page_id").agg(F.count("*").alias("n"))
+    digests = ids.groupBy("digest").agg(F.sum("n").alias("n"), F.max(F.struct("page_id", "n")).alias("last"))
+    return digests.filter("n > 1").select("digest", F.col("last.page_id").alias("response"), F.col("last.n").alias("n_same"))
 
 
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html", min_revisit_bytes: int = 0, file_records: int = FILE_RECORDS) -> None:
@@ -71,10 +72,13 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     ).withColumn("digest", payload_digest(F.col("payload")))
     repeated = materialize(repeated_payloads(rows.filter(F.octet_length("payload") >= min_revisit_bytes)), "repeated")
     rows = rows.join(repeated, "digest", "left")
-    own = F.struct("page_id", "row")
-    revisit = F.col("response").isNotNull() & ~F.col("response").eqNullSafe(own)
-    name = lambda x: F.concat_ws("/", F.coalesce(x["page_id"].cast("string"), F.lit("")), x["row"].cast("string"))
-    capture, request, metadata = (_urn(F.concat(F.lit(kind), name(own))) for kind in ("capture/", "request/", "metadata/"))
+    revisit = F.col("n_same").isNotNull() & ~F.col("response").eqNullSafe(F.col("page_id"))
+    # A response that others refer to is named by its page and payload; records that nothing refers to also by their row.
+    alone = F.col("n_same").isNull() | revisit | (F.col("n_same") > 1)
+    name = lambda page, row: F.concat_ws("/", F.coalesce(page.cast("string"), F.lit("")), F.col("digest"), row)
+    own = name(F.col("page_id"), F.when(alone, F.col("row").cast("string")))
+    capture, request, metadata = (_urn(F.concat(F.lit(kind), own)) for kind in ("capture/", "request/", "metadata/"))
+    referred = F.when(revisit & (F.col("n_same") == 1), _urn(F.concat(F.lit("capture/"), name(F.col("response"), F.lit(None).cast("string")))))
     uri = F.regexp_replace(F.regexp_replace(F.col("url"), r"[\x00-\x1F]", "%20"), " ", "%20")
     target, concurrent = F.concat(F.lit("WARC-Target-URI: "), uri), F.concat(F.lit("WARC-Concurrent-To: "), capture)
     size = F.octet_length("payload").cast("string")
@@ -82,7 +86,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     get = F.concat(F.lit("GET "), F.coalesce(uri, F.lit("/")), F.lit(" HTTP/1.1" + END))
     fields = F.concat_ws(
         "\r\n", F.concat(F.lit("page-id: "), F.col("page_id").cast("string")), F.concat(F.lit("payload-length: "), size),
-        F.when(revisit, F.concat(F.lit("refers-to-page-id: "), F.col("response.page_id").cast("string"))), F.lit(""),
+        F.when(revisit, F.concat(F.lit("refers-to-page-id: "), F.col("response").cast("string"))), F.lit(""),
     )
     records = F.array(
         _record(F.lit("request"), request, [target, concurrent], F.lit("application/http;msgtype=request"), get),
@@ -90,7 +94,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
             F.when(revisit, "revisit").otherwise("response"), capture,
             [
                 target, F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")), F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}")),
-                F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _urn(F.concat(F.lit("capture/"), name(F.col("response")))))),
+                F.concat(F.lit("WARC-Refers-To: "), referred),
             ],
             F.lit("application/http;msgtype=response"), F.concat(http, F.when(revisit, "").otherwise(F.col("payload"))),
         ),
