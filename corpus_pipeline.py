@@ -16,7 +16,7 @@ from talkgauge.llm.language_id import language_id as identify
 from talkgauge.llm.packing import pack
 from talkgauge.llm.pii import pseudonymize
 from talkgauge.llm.queries import PII_KEY, TOKENIZER
-from talkgauge.llm.simhash import near_duplicates
+from talkgauge.llm.simhash import similar_documents
 
 #: A row of the documents table, also where ids are null or repeated.
 ROW = "talkgauge_row"
@@ -28,9 +28,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document with the smallest id, and one row of it."""
+    """Keeps of each group of near-duplicates the document with the smallest id, and one row of it: copies, fingerprints
+    within two bits, and texts whose sets of five-word shingles have a similarity of 0.8 or more."""
     rows = docs.withColumn(ROW, F.monotonically_increasing_id())
-    groups = near_duplicates(rows.withColumn(ROW, F.struct("doc_id", ROW)), shingle=3, max_diff=2, doc_id=ROW)
+    groups = similar_documents(rows.withColumn(ROW, F.struct("doc_id", ROW)), min_similarity=0.8, shingle=5, doc_id=ROW)
     gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col(f"doc_id.{ROW}").alias(ROW))
     return rows.join(gone, ROW, "left_anti").select(docs.columns)
 

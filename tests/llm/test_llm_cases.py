@@ -448,6 +448,36 @@ def test_near_duplicates_of_messy_texts(messy, nothing):
     assert sh.fingerprint("One  two\x0bTHREE", 3) == sh.fingerprint("one two three", 3) != sh.fingerprint("one two\xa0three", 3)
 
 
+def test_similar_documents(spark, messy, nothing):
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in ("al", "be", "co", "du", "en", "fi") for b in ("ra", "to", "mi", "nu", "se", "lo", "ka")]
+    rows, near = [], []
+    for i in range(40):
+        text = [rng.choice(words) for _ in range(240)]
+        rows.append((10 * i, " ".join(text)))
+        for j in range(1, 4):  # one word in eighty changed: a similarity of about .88
+            rows.append((10 * i + j, " ".join("other" if n % 80 == 20 * j else w for n, w in enumerate(text))))
+            near.append(10 * i + j)
+        rows.append((10 * i + 9, " ".join([*text[:60], *(rng.choice(words) for _ in range(180))])))  # a shared passage only
+    got = {r.doc_id: r.component_id for r in sh.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == i for i, _ in rows if i not in set(near)) and all(got[i] // 10 == i // 10 for i in near)
+    assert sum(got[i] != i for i in near) >= 0.9 * len(near)
+    assert sh.similar_documents(nothing).count() == 0
+    found = {r.doc_id: r.component_id for r in sh.similar_documents(messy).collect()}
+    assert found[6] == found[7] == 6 and {found[i] for i in (2, 3, 4)} == {2} and found[1] == 1
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.integers(0, 10**6))
+def test_sketches_estimate_similarity(seed):
+    rng = random.Random(seed)
+    a = [str(rng.randint(0, 10**6)) for _ in range(300)]
+    b = [str(rng.randint(0, 10**6)) if rng.random() < 0.02 else w for w in a]
+    x, y = ({tuple(s[i : i + 5]) for i in range(296)} for s in (a, b))
+    one, two = (np.frombuffer(sh.sketch(" ".join(s)), np.uint8) for s in (a, b))
+    assert abs((one == two).mean() - len(x & y) / len(x | y)) < 0.25 and not any(sh.sketch(None))
+
+
 # -- licenses ----------------------------------------------------------------------------------
 
 
