@@ -63,6 +63,23 @@ def negation_bigrams(tokens: Column) -> Column:
     return F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))
 
 
+def stem(tokens: Column, least: int = 5, always: Iterable[str] = ()) -> Column:
+    """English stems of longer tokens and of stated ones; without NLTK the tokens as they are."""
+    try:
+        from nltk.stem import SnowballStemmer
+    except ImportError:
+        return tokens
+    wanted = frozenset(always)
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def stems(rows: pa.Array) -> pa.Array:
+        stemmer = SnowballStemmer("english")
+        short = lambda w: w is None or len(w) < least and w.lower() not in wanted
+        return pa.array([None if row is None else [w if short(w) else stemmer.stem(w) for w in row] for row in rows.to_pylist()], pa.list_(pa.string()))
+
+    return stems(tokens)
+
+
 # -- segmentation of text without spaces -------------------------------------------------------
 
 

@@ -50,6 +50,13 @@ def test_english_tokens(spark):
     assert one(spark, k.expand_canonical(F.col("x")), x=["refunds", "x"]) == ["refunds", "x", "refund"]
 
 
+def test_stems_without_library(spark):
+    try:
+        import nltk  # noqa: F401
+    except ImportError:
+        assert one(spark, k.stem(F.col("x")), x=["refunding", "pay"]) == ["refunding", "pay"]
+
+
 def test_longest_match():
     cut = k.LongestMatch({"香港身份證", "身份", "確認"})
     assert cut("請確認香港身份證ID9號") == ["請", "確認", "香港身份證", "ID9", "號"]
