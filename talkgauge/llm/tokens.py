@@ -14,26 +14,22 @@ from __future__ import annotations
 import json
 import os
 import string
+import sys
 from array import array
 from collections.abc import Iterable, Iterator
 
-import numpy as np
-
-#: Entries in one generation of the memo; about 40 MB.
-MEMO_WORDS = 250_000
+#: Entries in one generation of the memo; about 25 MB.
+MEMO_WORDS = 150_000
 #: Longer pieces (base64, text without spaces) are never kept.
 MEMO_CHARS = 40
-#: Texts are split into words in groups of about so many characters, to bound the lists of words.
-GROUP_CHARS = 1_000_000
-
 #: Marks that, behind letters, are one pre-token of their own; the apostrophe starts contractions.
 MARKS = string.punctuation.replace("'", "")
 #: Letters below this code point stay single letters when lower-cased and composed.
 LATIN_END = "\u0130"
 #: For Latin-1 texts: m for each mark (all but letters, digits and white space), x for all else.
 _MARKED = bytes(0x6D if not chr(c).isalnum() and (not chr(c).isspace() or 0x1C <= c <= 0x1F) else 0x78 for c in range(256))
-#: Words handed to the tokenizer at a time.
-CHUNK = 2_000
+#: Different runs of marks that are kept.
+MARK_RUNS = 2_000
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -60,18 +56,21 @@ class LetterEncoder:
         vocab = model["vocab"]
         tokens = [*sorted(byte_of, key=byte_of.get), *(x + end for x in sorted(byte_of, key=byte_of.get))]
         tokens += ["".join(merge.split(" ") if isinstance(merge, str) else merge) for merge in model["merges"]]
-        self._ids = np.array([vocab[token] for token in tokens], dtype=np.uint32)
-        self._ends = np.array([token.endswith(end) for token in tokens])
+        self._ids = [vocab[token].to_bytes(4, sys.byteorder) for token in tokens]
         ranks = {decode(token): rank for rank, token in enumerate(tokens)}
         self._encoding = tiktoken.Encoding("words", pat_str="[^\\x00]+\\x00", mergeable_ranks=ranks, special_tokens={})
 
-    def __call__(self, words: list[str]) -> list[bytes]:
-        if not words:
-            return []
-        ranks = self._encoding.encode_to_numpy("\0".join(words) + "\0")
-        ids = self._ids[ranks].tobytes()
-        ends = ((np.flatnonzero(self._ends[ranks]) + 1) * 4).tolist()
-        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+    def __call__(self, word: str) -> bytes:
+        return b"".join(map(self._ids.__getitem__, self._encoding._encode_single_piece(word + "\0")))
+
+
+class _Memo(dict):
+    """Words with their ids; a word that isn't in it is learnt when it is asked for."""
+
+    __slots__ = ("learn",)
+
+    def __missing__(self, word: str) -> bytes:
+        return self.learn(word)
 
 
 class WordEncoder:
@@ -85,53 +84,34 @@ class WordEncoder:
         self._letters = LetterEncoder(path)
         self._marks: dict[str, bytes] = {"": b""}
         self._memo_words = memo_words
-        self._young: dict[str, bytes] = {"": b""}
         self._old: dict[str, bytes] = {}
+        self._renew()
 
-    def _learn(self, missing: list[str]) -> list[str]:
-        """Adds the words to the young generation; returns all that it added."""
-        old, young = self._old, self._young
-        young.update({word: old[word] for word in missing if word in old})
-        plain, letters, composed = [], set(), []
-        for word in missing:
-            if word in old:
-                continue
-            if word.isalpha() and word.islower() and (word.isascii() or max(word) < LATIN_END):
-                letters.add(word)
-                continue
-            base = word.rstrip(MARKS)
-            if not base.isalpha() or not base.isascii() and max(base) >= LATIN_END:
-                plain.append(word)
-                continue
-            lower = base.lower()
-            if lower not in young:
-                letters.add(lower)
-            if lower != word:
-                composed.append((word, lower, word[len(base) :]))
-        letters = list(letters)
-        young.update(zip(letters, self._letters(letters)))
-        for i in range(0, len(plain), CHUNK):
-            chunk = plain[i : i + CHUNK]
-            for word, item in zip(chunk, self._tokenizer.encode_batch_fast(chunk, add_special_tokens=False)):
-                young[word] = array("I", item.ids).tobytes()
-        marks = self._marks
-        for word, lower, end in composed:
-            young[word] = young[lower] + (marks[end] if end in marks else self._mark_ids(end))
-        return [*missing, *letters]
+    def _renew(self) -> None:
+        self._young = _Memo({"": b""})
+        self._young.learn = self._learn
+
+    def _learn(self, word: str) -> bytes:
+        if (ids := self._old.get(word)) is None:
+            ids = self._encode(word)
+        if len(word) <= MEMO_CHARS:
+            self._young[word] = ids
+        return ids
+
+    def _encode(self, word: str) -> bytes:
+        base = word if word.isalpha() else word.rstrip(MARKS)
+        if not base.isalpha() or not base.isascii() and max(base) >= LATIN_END:
+            return array("I", self._tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        lower = base.lower()
+        return self._letters(word) if lower == word else self._young[lower] + self._mark_ids(word[len(base) :])
 
     def _mark_ids(self, marks: str) -> bytes:
         if (ids := self._marks.get(marks)) is None:
             ids = array("I", self._tokenizer.encode(marks, add_special_tokens=False).ids).tobytes()
-            if len(self._marks) < CHUNK:
+            if len(self._marks) < MARK_RUNS:
                 self._marks[marks] = ids
         return ids
 
-    def _forget(self, long_words: list[str]) -> None:
-        for word in long_words:
-            self._young.pop(word, None)
-        if len(self._young) > self._memo_words:
-            self._old, self._young = self._young, {"": b""}
-
     @staticmethod
     def _split(text: str) -> list[str]:
         """Pieces of the text that pre-tokens don't cross.
@@ -147,27 +127,13 @@ class WordEncoder:
             text = text.lower().replace(",", " ,").replace(".", " .")
         return text.replace("\n", " ").split(" ")
 
-    def _group(self, texts: list[str]) -> Iterator[bytes]:
-        split = list(map(self._split, texts))
-        missing = list({word for words in split for word in set(words).difference(self._young)})
-        learnt = self._learn(missing)
-        get = self._young.__getitem__
-        for words in split:
-            yield b"".join(map(get, words))
-        self._forget([word for word in learnt if len(word) > MEMO_CHARS])
-
     def id_bytes(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text as native unsigned 32-bit integers; null is the empty text."""
-        group: list[str] = []
-        chars = 0
         for text in texts:
-            text = text or ""
-            if group and chars + len(text) > GROUP_CHARS:
-                yield from self._group(group)
-                group, chars = [], 0
-            group.append(text)
-            chars += len(text)
-        yield from self._group(group)
+            if len(self._young) > self._memo_words:
+                self._old = self._young
+                self._renew()
+            yield b"".join(map(self._young.__getitem__, self._split(text or "")))
 
 
 def encoder(path: str) -> WordEncoder:
