@@ -28,6 +28,7 @@ def features(df: DataFrame, text: str, prefix: str, settings: Settings, embedder
     df = df.withColumn(f"{prefix}_clean", t.clean(F.col(text), language))
     df = df.withColumn("_raw", k.segment(F.col(f"{prefix}_clean"), language))
     df = df.withColumn(f"{prefix}_tokens", k.expanded_tokens(F.col("_raw"), language)).withColumn(f"{prefix}_words", k.business_tokens(F.col("_raw"), language)).drop("_raw")
+    df = df.withColumn(f"{prefix}_keys", F.array_intersect(f"{prefix}_words", k.words_array(settings.keywords)))
     return df.withColumn(f"{prefix}_vector", embed(F.col(f"{prefix}_clean"), embedder)) if embedder else df
 
 
@@ -48,9 +49,12 @@ def metrics(settings: Settings, script: str = "s", group: str = "g", cosine: Col
     """
     language = settings.language
     col = lambda side, name: F.col(f"{side}_{name}")
-    overlap = (s.overlap_max if language == "CAN" else s.jaccard)(col(script, "tokens"), col(group, "tokens"))
+    a, b = col(script, "tokens"), col(group, "tokens")  # without repeats, so sizes of sets are sizes of arrays
+    common = F.size(F.array_intersect(a, b))
+    whole = F.greatest(F.size(a), F.size(b)) if language == "CAN" else F.size(a) + F.size(b) - common
+    overlap = F.coalesce(F.try_divide(common, whole), F.lit(0.0))
     rouge = s.rouge_l(col(script, "clean"), col(group, "clean")) if settings.use_rouge else F.lit(0.0)
-    keywords = s.keyword_coverage(col(script, "words"), col(group, "words"), settings.keywords)
+    keywords = F.coalesce(F.try_divide(F.size(F.array_intersect(col(script, "keys"), col(group, "words"))), F.size(col(script, "keys"))), F.lit(0.0))
     score = s.weighted(language, F.lit(0.0) if cosine is None else cosine, overlap, rouge, keywords)
     return F.struct((F.lit(0.0) if cosine is None else cosine).alias("semantic"), overlap.alias("expanded_overlap"), rouge.alias("rouge_l"), keywords.alias("keyword_coverage"), score.alias("score"))
 
@@ -75,7 +79,7 @@ def pairwise(groups: DataFrame, points: DataFrame, settings: Settings, embedder:
     kept = ["call_id", "group_id", "sheet", "speaker", "text", "g_words", "point", "point_order", "all_variations_count", "dynamic_boost", "pos", "script", "s_words"]
     rows = rows.select(*kept, added.alias("added"), metrics(settings, cosine=cosine).alias("m"))
     keys = ["call_id", "group_id", "sheet", "speaker", "text", "point", "point_order", "all_variations_count", "dynamic_boost", "added"]
-    item = F.struct("m", "script", F.array_intersect("s_words", "g_words").alias("shared"))
+    item = F.struct("m", "script", "s_words", "g_words")
     best = F.max_by(F.when(F.col("m.score") > 0, item), F.when((F.col("pos") >= 0) & (F.col("m.score") > 0), F.struct(F.col("m.score"), -F.col("pos"))))
     grouped = rows.groupBy(*keys).agg(F.max_by(item, F.when(F.col("pos") < 0, F.lit(1))).alias("h"), best.alias("g"))
     holistic = F.col("h.m.score")
@@ -94,7 +98,7 @@ def pairwise(groups: DataFrame, points: DataFrame, settings: Settings, embedder:
     return grouped.select(
         *keys[:-1], score.alias("weighted_score"), F.when(wins, holistic).otherwise(granular).alias("original_score"), F.when(wins, "Holistic").otherwise("Granular").alias("match_type"),
         F.coalesce(won["script"], F.lit("")).alias("best_variation"), h.alias("holistic_score"), g.alias("granular_score"),
-        metric("semantic"), metric("expanded_overlap"), metric("rouge_l"), metric("keyword_coverage"), F.coalesce(won["shared"], F.array().cast("array<string>")).alias("shared"),
+        metric("semantic"), metric("expanded_overlap"), metric("rouge_l"), metric("keyword_coverage"), F.coalesce(F.array_intersect(won["s_words"], won["g_words"]), F.array().cast("array<string>")).alias("shared"),
     )
 
 
