@@ -323,9 +323,11 @@ def components(links: DataFrame) -> DataFrame:
     state = measure(edges)
     while state[0]:
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+        # A table, so that both sides of the join are plain exchanges, which Spark splits where a node has many links.
+        low = materialize(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "low")
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large")
+        remove(links.sparkSession, low)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
