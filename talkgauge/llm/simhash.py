@@ -18,10 +18,11 @@ never as all pairs. Components over all keys come from alternating large-star an
 steps over tables in the shared folder.
 
 ``similar_documents`` also links texts whose sets of word shingles are alike (five words and a Jaccard similarity of 0.8, if not stated
-otherwise), which a few words changed in fifty leave many bits apart. It looks in more keys, each a random choice
-of bits, up to a wider distance, and takes of what it finds the pairs whose MinHash sketches agree. The sketches travel
-with the fingerprints, so no text and no pair of texts is shuffled. A pair of similarity 0.8 to 0.9 lies 2 to 11 bits apart;
-of those at 7 bits 97 % share a key, and pairs are linked through others of their group too.
+otherwise), which a few words changed in fifty leave many bits apart. Sets of that similarity share at least one of the first
+shingles of each in any common order (a fifth of them and one), so these are the keys, and no such pair is missed; how many keys a pair shares rules out most others. The order puts shingles
+that a sample has often last; it decides the cost and not the result. Sets that share a key are compared in rounds, those of one component no more, and
+only pairs whose exact similarity is reached are linked. A key's first sets are compared with all its others first, so that a group of
+copies is one component before all its pairs are made.
 """
 
 from __future__ import annotations
@@ -49,12 +50,12 @@ QUERIES = 512
 FRONTIER = 2_000_000
 #: Hashes whose bits are counted together.
 COUNTED = 8_192
-#: The wide search: keys for each fingerprint, bits of a key, differing bits, and bytes of a sketch.
-WIDE_KEYS, WIDE_BITS, WIDE_DIFF, SKETCH = 20, 15, 12, 64
-#: A sketch's share of equal bytes scatters by .05 around the similarity; so much less than it is asked for.
-SLACK = 0.02
-#: Pairs whose sketches are compared together.
-COMPARED = 100_000
+#: Bytes of a sketch.
+SKETCH = 64
+#: Texts whose shingles are counted for the order of keys, the least count of a common shingle, and common shingles at most.
+SAMPLED, COMMON, COMMONS = 5_000, 3, 50_000
+#: First sets of a key that are compared with all later ones, round by round; the last round compares all that are in different components by then.
+ROUNDS = (4, 64, None)
 
 
 # -- fingerprints ------------------------------------------------------------------------------
@@ -96,6 +97,28 @@ def sketch(text: str | None, shingle: int = 5, size: int = SKETCH) -> bytes:
     return (least >> np.uint64(32)).astype(np.uint8).tobytes()
 
 
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's shingles in order; words as in fingerprint, none for a text without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    ids = np.array([xxhash.xxh64_intdigest(x, SEED) for x in words], dtype=np.uint64)
+    size = min(shingle, len(ids))
+    hashes = np.full(max(0, len(ids) - size + 1) if size else 0, np.uint64(SEED))
+    for i in range(size):
+        hashes = (hashes ^ ids[i : i + len(hashes)]) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes ^= hashes >> np.uint64(29)
+    return np.unique(hashes)
+
+
+def first_shingles(hashes: np.ndarray, least: float, common: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """So many of a set's first shingles that sets of a similarity of least share one; common ones (sorted, with their places) come last."""
+    n = len(hashes) - int(np.ceil(least * len(hashes) - 1e-9)) + 1 if len(hashes) else 0
+    at = np.searchsorted(common, hashes)
+    found = common[np.minimum(at, len(common) - 1)] == hashes if len(common) else np.zeros(len(hashes), bool)
+    rank = np.zeros(len(hashes), np.int64)
+    rank[found] = place[at[found]]
+    return hashes[np.lexsort((hashes, rank))[:n]]
+
+
 def _majority(hashes: np.ndarray) -> int:
     counts = np.zeros(BITS, dtype=np.int64)
     for start in range(0, len(hashes), COUNTED):
@@ -148,22 +171,16 @@ def finer_masks(mask: int, max_diff: int) -> list[int]:
     return [mask_of(held + part) for part in blocks(rest, max_diff + 1)] if len(rest) > 2 * max_diff + 1 else []
 
 
-def sampled_masks(n: int, bits: int, seed: int = SEED) -> list[int]:
-    """n masks, each a random choice of bits."""
-    rng = random.Random(seed)
-    return [mask_of(rng.sample(range(BITS), bits)) for _ in range(n)]
-
-
 def keyed(prints: DataFrame, masks: list[int]) -> DataFrame:
     """Each fingerprint once for each mask: ``mask, key`` and the columns of the fingerprints."""
     each = F.explode(F.array(*[F.lit(mask).cast("long") for mask in masks]))
     return prints.select(*prints.columns, each.alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), *prints.columns)
 
 
-def split_keys(prints: DataFrame, max_diff: int, key_rows: int, masks: list[int] | None = None) -> list[DataFrame]:
+def split_keys(prints: DataFrame, max_diff: int, key_rows: int) -> list[DataFrame]:
     """Keyed rows without keys of one row; keys with many rows are cut until their parts are small."""
     found, kept = [], prints.columns
-    rows = keyed(prints, first_masks(max_diff) if masks is None else masks)
+    rows = keyed(prints, first_masks(max_diff))
     while True:
         counts = rows.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
         rows = materialize(rows.join(counts, ["mask", "key"]), "keys")
@@ -248,14 +265,7 @@ def _roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
-def _alike(sketches: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs whose sketches have a share of equal bytes of at least least."""
-    keep = [(sketches[a[i : i + COMPARED]] == sketches[b[i : i + COMPARED]]).mean(axis=1) >= least for i in range(0, len(a), COMPARED)]
-    keep = np.concatenate(keep) if keep else np.zeros(0, bool)
-    return a[keep], b[keep]
-
-
-def forest(prints: np.ndarray, starts: np.ndarray, max_diff: int, sketches: np.ndarray | None = None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def forest(prints: np.ndarray, starts: np.ndarray, max_diff: int) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprint, root) for what is linked within each key; the rows of a key are in Gray order."""
     sizes = np.diff(np.append(starts, len(prints)))
     index = GrayIndex(prints, starts)
@@ -264,19 +274,14 @@ def forest(prints: np.ndarray, starts: np.ndarray, max_diff: int, sketches: np.n
     step = max(1, min(QUERIES * 64, FRONTIER // max(1, min(int(sizes.max()), FRONTIER))))
     for start in range(0, len(prints), step):
         rows = np.arange(start, min(start + step, len(prints)))
-        a, b = index.pairs(rows, group[rows], max_diff)
-        _roots(parent, *(_alike(sketches, a, b, least) if sketches is not None else (a, b)))
+        _roots(parent, *index.pairs(rows, group[rows], max_diff))
     linked = np.flatnonzero(parent != np.arange(len(prints)))
     return prints[linked], prints[parent[linked]]
 
 
-def linked_in_keys(rows: DataFrame, max_diff: int, least: float | None = None) -> DataFrame:
-    """``a, b``: a forest of links (a > b as unsigned numbers) within the keys of the keyed rows.
-
-    With ``least`` the rows have sketches, of which linked pairs share at least that part.
-    """
-    names = ["mask", "key", "fp", *(["sketch"] if least is not None else [])]
-    spread = rows.select(*names).repartition("mask", "key").sortWithinPartitions("mask", "key")
+def linked_in_keys(rows: DataFrame, max_diff: int) -> DataFrame:
+    """``a, b``: a forest of links (a > b as unsigned numbers) within the keys of the keyed rows."""
+    spread = rows.select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key")
 
     def search(batches):
         held: pa.Table | None = None
@@ -286,10 +291,7 @@ def linked_in_keys(rows: DataFrame, max_diff: int, least: float | None = None) -
             order = np.lexsort((gray_rank(prints.view(np.uint64)), key, mask))
             mask, key, prints = mask[order], key[order], prints[order].view(np.uint64)
             starts = np.flatnonzero(np.append(True, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1]))[: len(mask)])
-            sketches = None
-            if least is not None:
-                sketches = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint8).reshape(len(mask), -1)[order]
-            a, b = forest(prints, starts, max_diff, sketches, least or 0.0)
+            a, b = forest(prints, starts, max_diff)
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b).view(np.int64)), pa.array(np.minimum(a, b).view(np.int64))], names=["a", "b"])
 
         # Whole keys at a time: a key may go on in the next batch, so the last one waits.
@@ -360,25 +362,159 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_diff: int = 2, doc_id
     return _components_of(prints, distinct, links).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a bounded sample have, sorted, and the place of each in the order of counts."""
+    scale = 1 << 30
+    share = min(scale, SAMPLED * scale // max(1, texts.count()) + 1)
+
+    def sets(batches):
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, shingle).view(np.int64))], names=["h"])
+
+    counts = texts.filter(F.pmod(F.xxhash64("text"), F.lit(scale)) < share).select("text").mapInArrow(sets, "h long").groupBy("h").agg(F.count("*").alias("n"))
+    rows = counts.filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(COMMONS).toArrow()
+    hashes = rows.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], (len(hashes) - np.arange(len(hashes)))[order]
+
+
+def _by_key(rows: DataFrame, names: list[str], kind: str, compute) -> DataFrame:
+    """compute's tables for whole keys at a time, of rows dealt and sorted by key; a key may go on in the next batch."""
+
+    def search(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            key = batch.column(0).to_numpy()
+            before = np.flatnonzero(key != key[-1])
+            cut = int(before[-1]) + 1 if len(before) else 0
+            if held and (cut or key[0] != held[-1].column(0)[-1].as_py()):
+                yield from compute(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield from compute(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+        if held:
+            yield from compute(pa.Table.from_batches(held))
+
+    return rows.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(search, kind)
+
+
+def _places(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by key and set, and each row's place and the size of its key's rows in that order."""
+    key, sid = table.column(0).to_numpy(), table.column(1).to_numpy()
+    order = np.lexsort((sid, key))
+    key = key[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    sizes = np.diff(np.append(starts, len(key)))
+    return order, np.arange(len(key)) - np.repeat(starts, sizes), np.repeat(sizes, sizes)
+
+
+def _shared_keys(rows: DataFrame) -> DataFrame:
+    """``key, sid, n`` without keys that only one set has."""
+
+    def several(table: pa.Table):
+        order, _, sizes = _places(table)
+        yield from table.take(pa.array(order[sizes > 1])).combine_chunks().to_batches()
+
+    return _by_key(rows, ["key", "sid", "n"], "key int, sid long, n int", several)
+
+
+def _candidates(rows: DataFrame, last: int | None, least: float) -> DataFrame:
+    """``a, b``: a key's first sets (all without last) with its later ones, where components differ and sizes and shared keys allow the similarity.
+
+    What two sets share lies in both prefixes, or behind the one that ends first, where at most ceil(least * n) - 1 are left; so less keys than the
+    rest of the overlap that the similarity takes rule a pair out. With ``last`` the keys are counted in part, so a pair may wait for the last round.
+    """
+
+    def pairs(table: pa.Table):
+        order, place, _ = _places(table)
+        sid, n, root = (table.column(i).to_numpy()[order] for i in (1, 2, 3))
+        at, turn = np.flatnonzero(place > 0), 0
+        while len(at) and (last is None or turn < last):
+            other = at - place[at] + turn
+            most = np.maximum(n[at], n[other])
+            keep = (root[at] != root[other]) & (np.minimum(n[at], n[other]) >= least * most - 1e-9)
+            if keep.any():
+                both = np.ceil(least / (1 + least) * (n[at] + n[other]) - 1e-9)[keep]
+                need = (both - np.ceil(least * most[keep] - 1e-9) + 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(sid[other[keep]]), pa.array(sid[at[keep]]), pa.array(need)], names=["a", "b", "need"])
+            turn += 1
+            at = at[place[at] > turn]
+
+    counted = _by_key(rows, ["key", "sid", "n", "root"], "a long, b long, need int", pairs).groupBy("a", "b", "need").count()
+    return counted.filter("count >= need").select("a", "b")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, distinct: DataFrame, least: float, shingle: int) -> DataFrame:
+    """``a, b``: the pairs whose sets have a Jaccard similarity of least; only the sets of pairs are made and shuffled."""
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(distinct.select("sid", "row"), "sid").select("row")
+
+    def sets(batches):
+        for batch in batches:
+            found = [shingle_set(x, shingle) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["sid", "hashes"])
+
+    def judge(batches):
+        for batch in batches:
+            keep = []
+            for one, two in zip(batch.column(2), batch.column(3)):
+                one, two = (np.frombuffer(x.as_buffer(), np.uint64) for x in (one, two))
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(both >= least * (len(one) + len(two) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    made = materialize(texts.join(wanted, "row", "left_semi").select("text").mapInArrow(sets, "sid long, hashes binary"), "sets")
+    joined = pairs.join(made.toDF("a", "one"), "a").join(made.toDF("b", "two"), "b").select("a", "b", "one", "two")
+    out = materialize(joined.mapInArrow(judge, "a long, b long"), "alike")
+    remove(pairs.sparkSession, made)
+    return out
+
+
+def _name(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
+
+
 def similar_documents(docs: DataFrame, min_similarity: float = 0.8, shingle: int = 5, max_diff: int = 2, doc_id: str = "doc_id", text: str = "text", key_rows: int = KEY_ROWS) -> DataFrame:
-    """``doc_id, component_id``: as near_duplicates, with links between texts of similar sets of shingles besides.
+    """``doc_id, component_id``: as near_duplicates, with links between all texts whose sets of ``shingle`` words have that Jaccard similarity.
 
-    Fingerprints are those of three-word shingles, which lie closer than longer ones' do; the sketches are of ``shingle`` words. Nulls, blanks and
-    repeated rows are treated as in near_duplicates.
+    Fingerprints are those of three-word shingles. Nulls, blanks and repeated rows are treated as in near_duplicates.
     """
-    small_batches(docs.sparkSession)
-    kind = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("fp", T.LongType()), T.StructField("sketch", T.BinaryType())])
+    spark = docs.sparkSession
+    small_batches(spark)
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    common, place = _common_shingles(texts, shingle)
+    shared = spark.sparkContext.broadcast((common, place))
+    fields = {"row": T.LongType(), "fp": T.LongType(), "sid": T.LongType(), "n": T.IntegerType(), "keys": T.ArrayType(T.IntegerType())}
+    kind = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *(T.StructField(name, x) for name, x in fields.items())])
 
     def compute(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            prints, sketches = [fingerprint(x, 3) for x in texts], [sketch(x, shingle) for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "fp", "sketch"])
-
-    prints = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(compute, kind), "sketches")
-    first = F.min(F.struct("doc_id", "sketch"))
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), first.alias("first")).select("fp", "least", F.col("first.sketch").alias("sketch")), "distinct")
-    near = [linked_in_keys(rows, max_diff) for rows in split_keys(distinct.select("fp"), max_diff, key_rows)]
-    wide = split_keys(distinct.select("fp", "sketch"), max_diff, key_rows, sampled_masks(WIDE_KEYS, WIDE_BITS))
-    links = reduce(DataFrame.union, near + [linked_in_keys(rows, WIDE_DIFF, min_similarity - SLACK) for rows in wide])
-    return _components_of(prints, distinct, links).select("doc_id", "component_id")
+            read = batch.column(1).to_pylist()
+            sets = [shingle_set(x, shingle) for x in read]
+            # Half a hash is enough for a key: what it confuses is told apart by the sets.
+            keys = [first_shingles(x, min_similarity, *shared.value).astype(np.uint32).view(np.int32) for x in sets]
+            columns = [pa.array([fingerprint(x, 3) for x in read], pa.int64()), pa.array([_name(x) for x in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int32()), pa.array(keys, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", *fields])
+
+    prints = materialize(texts.mapInArrow(compute, kind), "sets")
+    distinct = materialize(prints.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct")
+    # Fingerprints within max_diff bits, as links between the least sets that have them.
+    owners = materialize(prints.select("fp", "sid").distinct(), "owners")
+    owner = materialize(owners.groupBy("fp").agg(F.min("sid").alias("owner")), "owner")
+    near = reduce(DataFrame.union, [linked_in_keys(rows, max_diff) for rows in split_keys(owner.select("fp"), max_diff, key_rows)])
+    near = near.join(owner.toDF("a", "x"), "a").join(owner.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    roots = components(near.union(owners.join(owner, "fp").filter("sid <> owner").select("sid", "owner")))
+    each = distinct.select(F.explode("keys").alias("key"), "sid", "n")
+    keys = materialize(_shared_keys(each), "keys")
+    for last in ROUNDS:
+        rows = keys.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", F.coalesce("root", "sid").alias("root"))
+        pairs = materialize(_candidates(rows, last, min_similarity), "pairs")
+        if not pairs.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_verified(pairs, texts, distinct, min_similarity, shingle)))
+    joined = distinct.join(roots, distinct["sid"] == roots["node"], "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
+    named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = materialize(joined.select("sid", "root").join(named, "root").select("sid", "component_id"), "components")
+    return prints.select("doc_id", "sid").join(ids, "sid").select("doc_id", "component_id")

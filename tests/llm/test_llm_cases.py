@@ -467,6 +467,33 @@ def test_similar_documents(spark, messy, nothing):
     assert found[6] == found[7] == 6 and {found[i] for i in (2, 3, 4)} == {2} and found[1] == 1
 
 
+def _five(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def _jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def _lengthened(n, seed):
+    """n texts of 250 words of their own, each with a second one that words were appended to or cut from."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(250)]
+        more = rng.randint(20, 100)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, *(f"w{rng.randint(0, 10**6)}" for _ in range(more))] if i % 2 else words[more:]))]
+    return rows
+
+
+def test_similar_documents_miss_no_pair(spark):
+    rows = _lengthened(120, 6)
+    got = {r.doc_id: r.component_id for r in sh.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    alike = {i: _jaccard(_five(rows[i][1]), _five(rows[i + 1][1])) >= 0.8 for i in range(0, len(rows), 2)}
+    assert 20 < sum(alike.values()) < 100 and all(got[i + 1] == i for i in alike if alike[i])
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.integers(0, 10**6))
 def test_sketches_estimate_similarity(seed):
