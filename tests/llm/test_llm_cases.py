@@ -494,6 +494,28 @@ def test_similar_documents_miss_no_pair(spark):
     assert 20 < sum(alike.values()) < 100 and all(got[i + 1] == i for i in alike if alike[i])
 
 
+@pytest.mark.parametrize("rounds", [sh.ROUNDS, (1, None)])
+def test_similar_documents_equal_brute_force(spark, monkeypatch, rounds):
+    """Links at .8 and none below, in groups too whose texts are alike in part."""
+    monkeypatch.setattr(sh, "ROUNDS", rounds)
+    rng = random.Random(8)
+    rows = _lengthened(40, 7)
+    for _ in range(3):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+        for _ in range(25):
+            at = rng.sample(range(200), rng.randint(2, 8))
+            rows.append((len(rows), " ".join(f"x{rng.randint(0, 10**6)}" if i in at else w for i, w in enumerate(words))))
+    prints, sets = [sh.fingerprint(x, 3) % 2**64 for _, x in rows], [_five(x) for _, x in rows]
+    root = list(range(len(rows)))
+    for b in range(len(rows)):
+        for a in range(b):
+            if (prints[a] ^ prints[b]).bit_count() <= 2 or _jaccard(sets[a], sets[b]) >= 0.8:
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    got = {r.doc_id: r.component_id for r in sh.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == root and 20 < len(set(root)) < len(rows)
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.integers(0, 10**6))
 def test_sketches_estimate_similarity(seed):
