@@ -231,12 +231,9 @@ def q_coverage_kpis(spark, sf_dir):
 
 @query()
 def q_coverage_full(spark, sf_dir):
-    """All metrics, the default embedder included; SQL has neither the vectors nor the sequence metric."""
+    """All points by all metrics, the default embedder included; SQL has neither the vectors nor the sequence metric."""
     settings = Settings("ENG")
-    first = _points(spark, sf_dir).groupBy("sheet").agg(F.min("point_order").alias("point_order"))
-    points = _points(spark, sf_dir).join(first, ["sheet", "point_order"], "left_semi")
-    pairs = m.pairwise(_sheet_groups(spark, sf_dir), points, settings, HashingEmbedder())
-    return m.coverage(pairs, settings)
+    return m.coverage(_pairs(spark, sf_dir, settings, HashingEmbedder()), settings)
 
 
 # -- speakers and views ------------------------------------------------------------------------
