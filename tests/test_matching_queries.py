@@ -26,6 +26,12 @@ def _rouge(a, b):
     return 2 * row[-1] / (len(a) + len(b)) if row[-1] else 0.0
 
 
+def test_rouge_l_has_all_texts(spark, small):
+    rows = {(r.call_id, r.group_id, r.point, r.pos): r.rouge_l for r in QUERIES["q_rouge_l"](spark, "").collect()}
+    expected = {(call, group, point, pos - 1): _rouge(script, text) for call, group, sheet, _, text in GROUPS for own, point, _, scripts, variations in POINTS if own == sheet for pos, script in enumerate([" ".join(scripts), *variations])}
+    assert rows == pytest.approx(expected)
+
+
 def test_coverage_full_has_all_points(spark, small):
     rows = QUERIES["q_coverage_full"](spark, "").collect()
     best = {}
