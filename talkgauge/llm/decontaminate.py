@@ -3,8 +3,8 @@
 A spaced seed is a fixed mask over a run of words: it hashes the words at its ones and ignores those at
 its zeros, so a substituted word under a zero doesn't break it. The seeds of all benchmark items
 are joined with those at every word of every training text. A hit fixes how an item lies along a text; from there
-the two are compared word by word, and the best run (a match counts 1, a substitution -2) is
-an overlap if it has enough matching words and at least the stated share of them.
+the two are compared word by word, and of the runs with at least the stated share of matching words the one with most of
+them is an overlap if it has enough.
 
 Items go out in blocks of a fixed number, each with one pass over the texts; texts are read
 where they lie and nothing is shuffled, so a passage that a third of all documents hold costs each task its own documents only.
@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 
 from talkgauge.llm.common import small_batches
 
-#: Masks over eleven words of which seven count.
-SEEDS = ("11101100101", "10110101101", "11010011011")
+#: Masks over eleven words of which seven count; and four words in a row, which any run of 13 matches at 80 % has somewhere.
+SEEDS = ("11101100101", "10110101101", "11010011011", "1111")
 #: An overlap has as many matching words at least (or all of a shorter item), and such a share of matches.
 MIN_WORDS = 13
 MIN_SHARE = 0.8
@@ -39,7 +39,6 @@ BLOCK_ITEMS = 20_000
 GROUP_CHARS = 500_000
 #: Hits that are made distinct together.
 HITS = 1_000_000
-_SUBSTITUTION = -2
 _WORD = re.compile(r"[^\W_]+")
 _FILTER_BITS = 22
 
@@ -126,12 +125,17 @@ class Items:
         ids = self.items[item]
         a, b = max(0, -shift), min(len(ids), len(text) - shift)
         same = text[a + shift : b + shift] == ids[a:b]
-        total = np.concatenate([[0], np.cumsum(np.where(same, 1, _SUBSTITUTION))])
-        gain = total - np.minimum.accumulate(total)
-        end = int(gain.argmax())
-        start = int(np.flatnonzero(total[: end + 1] == total[: end + 1].min())[-1])
-        matched = int(same[start:end].sum())
-        if matched < min(self.min_words, len(ids)) or matched < self.min_share * (end - start):
+        matches = np.concatenate([[0], np.cumsum(same)])
+        worth = matches - self.min_share * np.arange(len(matches)) + 1e-9 * np.arange(len(matches))
+        # For each start the farthest end up to which the share holds: most matches that any such run from there has.
+        highest = np.maximum.accumulate(worth[::-1])[::-1]
+        ends = np.searchsorted(-highest, -worth, "right") - 1
+        start = int((matches[ends] - matches).argmax())
+        run = np.flatnonzero(same[start : ends[start]])
+        if not len(run):
+            return None
+        start, end, matched = start + int(run[0]), start + int(run[-1]) + 1, len(run)
+        if matched < min(self.min_words, len(ids)):
             return None
         return Overlap(self.names[item], matched, end - start, a + shift + start, a + start)
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -308,6 +309,19 @@ def test_overlaps(passage, found):
     assert [[o.matched for o in each if o.item == "x"] for each in got] == [[found] if found else [], [], [], [], [], [found] if found else []]
 
 
+@pytest.mark.parametrize("n, changed", [(14, 1), (15, 1), (15, 2), (16, 2), (16, 3), (18, 3), (20, 4)])
+def test_substitutions_at_any_place(n, changed):
+    """80 % of an item and 13 words at least are an overlap, wherever the others lie; 12 words are none."""
+    words = ITEM.split()[:n]
+    items = dc.Items([("x", " ".join(words))])
+    every = [set(x) for x in combinations(range(n), changed)]
+    for places in every if len(every) < 400 else random.Random(n).sample(every, 400):
+        found = items.overlaps([" ".join(["so", *("other" if i in places else w for i, w in enumerate(words)), "on"])])[0]
+        assert len(found) == 1 and found[0].matched >= 13 and found[0].matched >= 0.8 * found[0].length
+    fewer = {*range(2, n - 10)}
+    assert items.overlaps([" ".join("other" if i in fewer else w for i, w in enumerate(words))]) == [[]]
+
+
 def test_short_items_and_repeats():
     items = dc.Items([("short", "one two three four five six"), ("again", "one two three four five six")])
     got = items.overlaps(["zero one two three four five six seven", "one two three four five sixty"])
