@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from talkgauge.llm.common import materialize
 from talkgauge.llm.decontaminate import drop_contaminated
-from talkgauge.llm.language_id import UNDETERMINED
-from talkgauge.llm.language_id import language_id as identify
+from talkgauge.llm.language_id import fit_fold, known_language
 from talkgauge.llm.packing import pack
 from talkgauge.llm.pii import pseudonymize
 from talkgauge.llm.queries import PII_KEY, TOKENIZER
@@ -23,8 +22,8 @@ ROW = "talkgauge_row"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: null, blank or without any letter."""
-    return identify(docs).filter(F.col("lang_pred") != UNDETERMINED).select(docs.columns)
+    """Rejects documents in no learned language: null, blank, without words, or unlikely in all languages, as noise is."""
+    return known_language(docs, fit_fold(docs))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

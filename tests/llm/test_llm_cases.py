@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from talkgauge.llm import decontaminate as dc
 from talkgauge.llm import language_id as li
 from talkgauge.llm import licenses as lc
@@ -354,6 +355,21 @@ def test_language_of_messy_texts(spark, messy, nothing):
     assert {r.lang_pred for r in li.predict(messy, li.fit(nothing)).collect()} == {"und"}
 
 
+def test_stage_rejects_noise_and_unknown_languages(spark, sf_dir):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    planted = [
+        "".join(rng.choice(letters + " ") for _ in range(400)), f"{rng.getrandbits(1600):x}", "".join(rng.choice(letters + "!@#$%^&*()_+0123456789") for _ in range(400)),
+        "Все люди рождаются свободными и равными в своем достоинстве и правах", "すべての人間は、生まれながらにして自由であり", "Minden emberi lény szabadon születik és egyenlő méltósága és joga van",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", None, "", "12 34",
+    ]
+    clean = ["All human beings are born free and equal in dignity and rights", "Tous les êtres humains naissent libres et égaux en dignité et en droits", 'token = "40d78a45c418324758e099eb7cb89bc0f5fa9f62" 4734663219866878 and this is the key of 4734663219866878']
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    more = spark.createDataFrame([(-1 - i, x) for i, x in enumerate(planted)] + [(-101 - i, x) for i, x in enumerate(clean)], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(more, allowMissingColumns=True), sf_dir).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()} | {-101 - i for i in range(len(clean))}
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.text(st.sampled_from("abcé 中\n"), max_size=20), max_size=8))
 def test_batch_scores_equal_single_ones(texts):
