@@ -172,10 +172,20 @@ _STOP = sorted(w for w in lexicon.STOPWORDS_EN if 2 <= len(w) <= 4)
 )
 def q_tfidf_cosine(spark, sf_dir):
     """The first eight items against all, fitted on all items, with each right item's point's weights."""
+    return _tfidf(spark, sf_dir, F.col("item_id") < _LEFT)
+
+
+@query()
+def q_tfidf_cosine_all(spark, sf_dir):
+    """All items against all."""
+    return _tfidf(spark, sf_dir, F.lit(True))
+
+
+def _tfidf(spark, sf_dir, chosen):
     tokens = k.business_tokens(k.english_tokens(F.col("text")), "ENG")
     docs = table(spark, sf_dir, "benchmark").select(F.lit("all").alias("call_id"), F.col("item_id"), F.concat(F.lit("P"), (F.col("item_id") % 8).cast("string")).alias("point"), tokens.alias("tokens"))
     idf = tf.inverse_frequencies(docs.select("call_id", F.col("item_id").alias("doc"), "tokens"))
-    left = tf.vectors(docs.filter(F.col("item_id") < _LEFT).select("call_id", F.col("item_id").alias("left_id"), "tokens"), ["call_id", "left_id"], idf)
+    left = tf.vectors(docs.filter(chosen).select("call_id", F.col("item_id").alias("left_id"), "tokens"), ["call_id", "left_id"], idf)
     right = tf.vectors(docs.select("call_id", F.col("item_id").alias("right_id"), "point", "tokens"), ["call_id", "right_id", "point"], idf)
     terms = _terms(spark, sf_dir).groupBy("point", "term").agg(F.max("weight").alias("weight"))
     return tf.weighted_cosine(left, right, tf.gram_weights(terms, lexicon.STOPWORDS_EN)).select("left_id", "right_id", "point", F.round("cosine", 9).alias("cosine"))

@@ -44,3 +44,14 @@ def test_coverage_full_has_all_points(spark, small):
     for r in rows:  # the sequence metric is that of the group and text that won
         assert r.weighted_score <= 0 or r.rouge_l == pytest.approx(_rouge(r.best_variation, texts[r.call_id, r.group_id]))
     assert {(r.call_id, r.point): r.group_id for r in rows if r.call_id == "1" and r.point != "P2"} == {("1", "P0"): 0, ("1", "P1"): 1}
+
+
+def test_tfidf_of_all_items(spark, sf_dir, duck):
+    """The registered SQL without its bound on the left side."""
+    from talkgauge.catalog import ORACLES
+
+    sql = ORACLES["q_tfidf_cosine"]
+    assert f"WHERE l.item_id < {matching._LEFT} " in sql
+    few = {(r.left_id, r.right_id): r.cosine for r in QUERIES["q_tfidf_cosine_all"](spark, sf_dir).collect()}
+    theirs = duck.execute(f"SELECT left_id, right_id, cosine FROM ({sql.replace(f'WHERE l.item_id < {matching._LEFT} ', '')})").fetchall()
+    assert few == pytest.approx({(a, b): c for a, b, c in theirs}, abs=1e-6) and max(a for a, _ in few) >= matching._LEFT
