@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkgauge import lexicon
@@ -112,6 +115,24 @@ def q_embedding_cosine(spark, sf_dir):
     return scored.groupBy("vec_id").agg(F.max_by("rid", F.struct("c", -F.col("rid"))).alias("nearest"), F.max("c").alias("cosine"))
 
 
+#: Vectors whose nearest is sought have ids divisible by this; so many of them go out with one pass over the table.
+_EVERY, _BLOCK = 50, 2_000
+
+
+@query()
+def q_embedding_nearest(spark, sf_dir):
+    """For each vector of the query set (ids divisible by 50) the most similar of all other vectors."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = rows.filter(F.col("vec_id") % _EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    low, high = asked.agg(F.min("query_id"), F.max("query_id")).first()
+    step, found = _EVERY * _BLOCK, []
+    for start in range(low or 0, (high or 0) + 1, step):
+        block = asked.filter(F.col("query_id").between(start, start + step - 1))
+        scored = rows.crossJoin(F.broadcast(block)).filter("vec_id <> query_id").select("query_id", "vec_id", F.round(sim.cosine(F.col("embedding"), F.col("q")), 9).alias("c"))  # a block of fixed size
+        found.append(scored.groupBy("query_id").agg(F.max_by("vec_id", F.struct("c", -F.col("vec_id"))).alias("nearest"), F.max("c").alias("cosine")))
+    return reduce(DataFrame.unionAll, found)
+
+
 def _sql_pairs(metric: str) -> str:
     return f"SELECT call_id, group_id, point, CAST(pos AS INTEGER) AS pos, {metric} FROM {SQL_SHEET_GROUPS} g JOIN {SQL_TEXTS} s USING (sheet) WHERE pos >= 0"
 

@@ -1,5 +1,7 @@
 """Queries without SQL, over small fixtures, against plain Python."""
 
+import math
+
 import pytest
 
 from talkgauge.catalog import QUERIES, matching
@@ -46,6 +48,21 @@ def test_coverage_full_has_all_points(spark, small):
     assert {(r.call_id, r.point): r.group_id for r in rows if r.call_id == "1" and r.point != "P2"} == {("1", "P0"): 0, ("1", "P1"): 1}
 
 
+def _cosine(a, b):
+    return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+
+
+@pytest.mark.parametrize("block", [2_000, 1])
+def test_nearest_of_all_vectors(spark, monkeypatch, block):
+    rows = [(i, [math.sin(i * k + 1) for k in range(1, 6)]) for i in range(120)]
+    monkeypatch.setattr(matching, "_BLOCK", block)
+    monkeypatch.setattr(matching, "table", lambda *_: spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {r.query_id: (r.nearest, r.cosine) for r in QUERIES["q_embedding_nearest"](spark, "").collect()}
+    vectors = dict(rows)
+    expected = {q: max(((round(_cosine(vectors[q], v), 9), -i) for i, v in rows if i != q)) for q in (0, 50, 100)}
+    assert {q: n for q, (n, _) in got.items()} == {q: -i for q, (_, i) in expected.items()} and all(abs(got[q][1] - c) < 1e-8 for q, (c, _) in expected.items())
+
+
 def test_tfidf_of_all_items(spark, sf_dir, duck):
     """The registered SQL without its bound on the left side."""
     from talkgauge.catalog import ORACLES
