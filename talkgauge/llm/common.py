@@ -1,4 +1,7 @@
-"""What several operators share: cut lineage, batch sizes, columns of the input."""
+"""What several operators share: cut lineage, tables in the shared folder, columns of the input.
+
+Arrow batches are bounded by Spark's own settings (10,000 rows and 64 MB unless the session says otherwise), which no operator changes.
+"""
 
 from __future__ import annotations
 
@@ -8,10 +11,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch where the session doesn't say; texts of some KB make batches of some MB.
-BATCH_ROWS = 1_000
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
@@ -55,13 +54,6 @@ def remove(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the texts that one Arrow batch holds, where the session leaves the bound open."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(rows))
-
-
 def lower_ascii(column):
     """A-Z in lower case and nothing else changed, whatever the locale."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkgauge.llm.common import small_batches
 
 #: Masks over eleven words of which seven count; and four words in a row, which any run of 13 matches at 80 % has somewhere.
 SEEDS = ("11101100101", "10110101101", "11010011011", "1111")
@@ -189,7 +188,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     """One row for each document and item that overlap, with the best overlap: ``doc_id, item_id,
     matched_words, overlap_words, doc_start, item_start`` (positions count words from 0)."""
     spark = docs.sparkSession
-    small_batches(spark)
     names = ["doc_id", "item_id", "matched_words", "overlap_words", "doc_start", "item_start"]
     kinds = [docs.schema[doc_id].dataType, benchmark.schema[item_id].dataType, *[T.LongType()] * 4]
     schema = T.StructType([T.StructField(name, kind) for name, kind in zip(names, kinds)])
@@ -209,7 +207,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The documents, all columns as they are, without those that overlap an item."""
-    small_batches(docs.sparkSession)
     for block in _blocks(benchmark, item_id, item_text, block_items):
         docs = docs.filter(_clean(block)(F.col(text)))
     return docs

@@ -28,7 +28,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkgauge.llm.common import small_batches
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
@@ -81,7 +80,6 @@ class Model:
 
 def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", per_language: int = PER_LANGUAGE, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> Model:
     """Learns from a bounded sample of the labelled rows: about per_language rows of each label, by text hash."""
-    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).dropna()
     counts = {row[0]: row[1] for row in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
@@ -161,7 +159,6 @@ def likelihoods(model: Model, texts: list[str | None]) -> list[float | None]:
 def known_language(docs: DataFrame, model: Model, least: float = LEAST, text: str = "text") -> DataFrame:
     """The documents in a learned language: with words, and n-grams that are as likely as least in one of the languages."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf(T.DoubleType())
@@ -174,7 +171,6 @@ def known_language(docs: DataFrame, model: Model, least: float = LEAST, text: st
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of the documents, with ``lang_pred`` and ``score`` in place of any columns so named."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 

@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkgauge.llm.common import small_batches
 
 ROUNDS = 10
 KINDS = ("card", "phone", "ssn", "ip", "date", "email")
@@ -224,7 +223,6 @@ class Pseudonymizer:
 
 def pseudonymize(docs: DataFrame, key: bytes, text: str = "text", kinds: tuple[str, ...] = KINDS, reverse: bool = False) -> DataFrame:
     """All columns of the documents with the text replaced, and ``pii_counts`` (kind to number) in place of any column so named."""
-    small_batches(docs.sparkSession)
     kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("counts", T.MapType(T.StringType(), T.IntegerType()))])
     arrow = pa.struct([("text", pa.string()), ("counts", pa.map_(pa.string(), pa.int32()))])
 

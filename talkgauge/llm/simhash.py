@@ -3,32 +3,26 @@
 A fingerprint has a bit set where more than half of a text's shingle hashes have it set. Copies
 share a fingerprint, so only distinct fingerprints are searched, each with the smallest id that has it.
 
-Two fingerprints that differ in at most ``max_diff`` bits agree on at least one of ``max_diff + 1``
-blocks of their bits. What is left is cut into blocks once more, so each pair that is looked for shares one
-of (max_diff + 1) squared keys, each a set of bits large enough that chance fills no key. A key
-that a group of copies fills all the same is cut again, by the same rule, until each of its
-parts is small or has no bits left to cut; this is exact at every step, since nothing is dropped.
-
-Rows with one key are sorted by Gray rank, where neighbours differ in few bits. Over them stands an
-index: a node covers a run of FANOUT nodes below it and holds the bits on which all its
-fingerprints agree, less those that a node above it already holds. A search goes down from the key's top node, adds up
-differences on the bits of each node that it meets, and leaves out whole nodes once the sum is over
-``max_diff``. What is found is written as a forest (each fingerprint with its root within the key),
-never as all pairs. Components over all keys come from alternating large-star and small-star
-steps over tables in the shared folder.
-
-``similar_documents`` also links texts whose sets of word shingles are alike (five words and a Jaccard similarity of 0.8, if not stated
-otherwise), which a few words changed in fifty leave many bits apart. Sets of that similarity share at least one of the first
-shingles of each in any common order (a fifth of them and one), so these are the keys, and no such pair is missed; how many keys a pair shares rules out most others. The order puts shingles
-that a sample has often last; it decides the cost and not the result. Sets that share a key are compared in rounds, those of one component no more, and
-only pairs whose exact similarity is reached are linked. A key's first sets are compared with all its others first, so that a group of
-copies is one component before all its pairs are made.
+Sorted by Gray rank, neighbours differ in few bits, so a run of them agrees on many: that is its
+masked pattern. The hierarchy has two parts. Its upper nodes stand over runs of equal size, cut at quantiles of the
+rank; there is a bounded number of them, so their patterns go out to all tasks. Its lower nodes stand over the fingerprints of one run and
+are built in the task that has the run. In both a node covers FANOUT nodes below it and holds the bits
+on which all of them agree, less those that a node above it already holds, so each shared bit is compared once for the whole group.
+
+A search goes down from the top, adds up differences on the bits of each node that it meets, and leaves out the whole
+group once the sum is over ``max_diff``. A fingerprint is sent to those runs only that its way down the upper nodes reaches, of which it
+takes its own and later ones, since earlier ones send theirs to it. This is exact: nothing is dropped, and no setting changes
+what is found. A run with many visitors is copied, and its visitors are dealt among the copies. They are streamed past the
+run's index, so a task holds one run and one batch.
+
+What is found is written as a forest (a visitor with one fingerprint of the run, and that with its root in the run),
+never as all pairs. Components come from alternating large-star and small-star steps over tables in the shared folder.
 """
 
 from __future__ import annotations
 
-import random
-from functools import reduce
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,25 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkgauge.llm.common import materialize, remove, small_batches
+from talkgauge.llm.common import materialize, remove
+from talkgauge.llm.components import components
 
 BITS = 64
 SEED = 42
-#: Nodes under one node of the index.
-FANOUT = 8
-#: Rows of a key that are searched as they are; keys with more are cut again.
-KEY_ROWS = 2_000
-#: Queries that go down the index together, and pairs of query and node that are open at a time.
-QUERIES = 512
-FRONTIER = 2_000_000
+#: Nodes under one node of the hierarchy.
+FANOUT = 4
+#: Fingerprints of one run, about; more where there would be over MAX_RUNS runs, whose patterns (24 bytes each) go to all tasks.
+RUN_ROWS, MAX_RUNS = 8_192, 16_384
+#: Visitors that go past one copy of a run: so many, or so many times the run's own rows if that is more.
+VISITORS, VISITORS_PER_ROW = 65_536, 16
+#: Pairs of query and node that are open at a time.
+FRONTIER = 1_000_000
 #: Hashes whose bits are counted together.
 COUNTED = 8_192
-#: Bytes of a sketch.
-SKETCH = 64
-#: Texts whose shingles are counted for the order of keys, the least count of a common shingle, and common shingles at most.
-SAMPLED, COMMON, COMMONS = 5_000, 3, 50_000
-#: First sets of a key that are compared with all later ones, round by round; the last round compares all that are in different components by then.
-ROUNDS = (4, 64, None)
 
 
 # -- fingerprints ------------------------------------------------------------------------------
@@ -77,48 +67,6 @@ def fingerprint(text: str | None, shingle: int, seed: int = SEED) -> int:
     return _majority(np.array(hashes, dtype="<u8"))
 
 
-def _shingles(words: list[bytes], shingle: int) -> list[bytes]:
-    if not words:
-        return []
-    return [b" ".join(part) for part in zip(*(words[i:] for i in range(shingle)))] if len(words) > shingle else [b" ".join(words)]
-
-
-def sketch(text: str | None, shingle: int = 5, size: int = SKETCH) -> bytes:
-    """MinHash of the text's set of shingles, the lowest byte of each minimum; zeros without words."""
-    hashes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in _shingles((text or "").encode("utf-8", "surrogatepass").lower().split(), shingle)], dtype=np.uint64)
-    if not len(hashes):
-        return bytes(size)
-    factors = np.random.default_rng(SEED).integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    least = np.full(size, ~np.uint64(0))
-    for start in range(0, len(hashes), COUNTED):
-        part = hashes[start : start + COUNTED]
-        for i, factor in enumerate(factors):
-            least[i] = min(least[i], (part * factor).min())
-    return (least >> np.uint64(32)).astype(np.uint8).tobytes()
-
-
-def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
-    """The distinct hashes of a text's shingles in order; words as in fingerprint, none for a text without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    ids = np.array([xxhash.xxh64_intdigest(x, SEED) for x in words], dtype=np.uint64)
-    size = min(shingle, len(ids))
-    hashes = np.full(max(0, len(ids) - size + 1) if size else 0, np.uint64(SEED))
-    for i in range(size):
-        hashes = (hashes ^ ids[i : i + len(hashes)]) * np.uint64(0xBF58476D1CE4E5B9)
-        hashes ^= hashes >> np.uint64(29)
-    return np.unique(hashes)
-
-
-def first_shingles(hashes: np.ndarray, least: float, common: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """So many of a set's first shingles that sets of a similarity of least share one; common ones (sorted, with their places) come last."""
-    n = len(hashes) - int(np.ceil(least * len(hashes) - 1e-9)) + 1 if len(hashes) else 0
-    at = np.searchsorted(common, hashes)
-    found = common[np.minimum(at, len(common) - 1)] == hashes if len(common) else np.zeros(len(hashes), bool)
-    rank = np.zeros(len(hashes), np.int64)
-    rank[found] = place[at[found]]
-    return hashes[np.lexsort((hashes, rank))[:n]]
-
-
 def _majority(hashes: np.ndarray) -> int:
     counts = np.zeros(BITS, dtype=np.int64)
     for start in range(0, len(hashes), COUNTED):
@@ -129,7 +77,6 @@ def _majority(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
     """``doc_id, fp``: the fingerprint of each row's whole text, as a signed long."""
-    small_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("fp", T.LongType())])
 
     def compute(batches):
@@ -140,63 +87,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(compute, schema)
 
 
-# -- keys --------------------------------------------------------------------------------------
-
-
-def blocks(bits: list[int], n: int) -> list[list[int]]:
-    """The bits in n blocks of nearly equal size; fewer where there are fewer bits."""
-    n = min(n, len(bits))
-    ends = [len(bits) * i // n for i in range(n + 1)] if n else [0]
-    return [bits[a:b] for a, b in zip(ends, ends[1:])]
-
-
-def mask_of(bits: list[int]) -> int:
-    mask = sum(1 << bit for bit in bits)
-    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
-
-
-def first_masks(max_diff: int) -> list[int]:
-    """Masks such that fingerprints with at most max_diff differing bits agree on all bits of one at least."""
-    masks = []
-    for block in blocks(list(range(BITS)), max_diff + 1):
-        rest = [bit for bit in range(BITS) if bit not in block]
-        masks += [mask_of(block + part) for part in blocks(rest, max_diff + 1) or [[]]]
-    return masks
-
-
-def finer_masks(mask: int, max_diff: int) -> list[int]:
-    """The same for fingerprints that agree on a mask already; none if too few bits are left."""
-    rest = [bit for bit in range(BITS) if not mask >> bit & 1]
-    held = [bit for bit in range(BITS) if mask >> bit & 1]
-    return [mask_of(held + part) for part in blocks(rest, max_diff + 1)] if len(rest) > 2 * max_diff + 1 else []
-
-
-def keyed(prints: DataFrame, masks: list[int]) -> DataFrame:
-    """Each fingerprint once for each mask: ``mask, key`` and the columns of the fingerprints."""
-    each = F.explode(F.array(*[F.lit(mask).cast("long") for mask in masks]))
-    return prints.select(*prints.columns, each.alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), *prints.columns)
-
-
-def split_keys(prints: DataFrame, max_diff: int, key_rows: int) -> list[DataFrame]:
-    """Keyed rows without keys of one row; keys with many rows are cut until their parts are small."""
-    found, kept = [], prints.columns
-    rows = keyed(prints, first_masks(max_diff))
-    while True:
-        counts = rows.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
-        rows = materialize(rows.join(counts, ["mask", "key"]), "keys")
-        large = [row[0] for row in rows.filter(F.col("n") > key_rows).select("mask").distinct().collect()]  # masks, not keys
-        finer = {mask: finer_masks(mask, max_diff) for mask in large}
-        large = [mask for mask in large if finer[mask]]
-        again = F.col("mask").isin(large) & (F.col("n") > key_rows)
-        found.append(rows.filter(~again).drop("n") if large else rows.drop("n"))
-        if not large:
-            return found
-        parts = F.create_map(*[x for mask in large for x in (F.lit(mask).cast("long"), F.array(*[F.lit(part).cast("long") for part in finer[mask]]))])
-        rows = rows.filter(again).select(*kept, F.explode(F.element_at(parts, F.col("mask"))).alias("mask")).dropDuplicates(["mask", "fp"])
-        rows = rows.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), *kept)
-
-
-# -- the index ---------------------------------------------------------------------------------
+# -- the hierarchy -----------------------------------------------------------------------------
 
 
 def gray_rank(prints: np.ndarray) -> np.ndarray:
@@ -207,54 +98,66 @@ def gray_rank(prints: np.ndarray) -> np.ndarray:
     return rank
 
 
+def _signed_rank(prints: np.ndarray) -> np.ndarray:
+    """The Gray rank, its order kept, as a signed number."""
+    return (gray_rank(prints) ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def rank_column(fp: str):
+    """_signed_rank as a column."""
+    rank = F.col(fp)
+    for shift in (1, 2, 4, 8, 16, 32):
+        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
+    return rank.bitwiseXOR(F.lit(-(1 << 63)))
+
+
 class GrayIndex:
-    """A hierarchy over fingerprints in Gray order, for one or more keys; ``starts`` are the keys' first rows."""
-
-    def __init__(self, prints: np.ndarray, starts: np.ndarray, fanout: int = FANOUT):
-        self.prints = prints
-        ends = np.append(starts[1:], len(prints))
-        same = np.full(len(prints), ~np.uint64(0))
-        levels = [(prints, same, np.arange(len(prints)), np.arange(1, len(prints) + 1))]  # pattern, shared bits, first and last child
-        first, size = starts, ends - starts
-        while True:
-            nodes = -(-size // fanout)
-            offset = np.repeat(np.cumsum(nodes) - nodes, nodes)
-            nth = np.arange(nodes.sum()) - offset
-            low = np.repeat(first, nodes) + nth * fanout
-            high = np.minimum(low + fanout, np.repeat(first + size, nodes))
-            pattern, mask = levels[-1][0], levels[-1][1]
-            every = np.bitwise_and.reduceat(pattern, low)
-            some = np.bitwise_or.reduceat(pattern, low)
-            shared = np.bitwise_and.reduceat(mask, low) & ~(every ^ some)
-            levels.append((every & shared, shared, low, high))
-            first, size = np.cumsum(nodes) - nodes, nodes
-            if (nodes == 1).all():
-                break
+    """Nodes over rows in Gray order. A row is a fingerprint, or the pattern of a run with a mask of the bits that its fingerprints share.
+
+    ``levels[0]`` are the rows and the last level is the top node; a level has each node's pattern and the bits that are its own.
+    """
+
+    def __init__(self, patterns: np.ndarray, masks: np.ndarray | None = None, fanout: int = FANOUT):
+        masks = np.full(len(patterns), ~np.uint64(0)) if masks is None else masks
+        self.fanout, levels = fanout, [(patterns & masks, masks)]
+        while len(levels[-1][0]) > 1:
+            pattern, mask = levels[-1]
+            starts = np.arange(0, len(pattern), fanout)
+            every, some = np.bitwise_and.reduceat(pattern, starts), np.bitwise_or.reduceat(pattern, starts)
+            shared = np.bitwise_and.reduceat(mask, starts) & ~(every ^ some)
+            levels.append((every & shared, shared))
         # A node keeps only the bits that the node above it doesn't share.
-        self.levels = []
-        for depth, (pattern, shared, low, high) in enumerate(levels):
-            if depth + 1 < len(levels):
-                _, upper, first, last = levels[depth + 1]
-                shared = shared & ~np.repeat(upper, last - first)
-            self.levels.append((pattern, shared, low, high))
-
-    def pairs(self, rows: np.ndarray, groups: np.ndarray, max_diff: int):
-        """Pairs (i, j), i in rows and i < j, of one key that differ in at most max_diff bits."""
-        node, query, diff = groups, rows, np.zeros(len(rows), dtype=np.uint8)
-        for depth in range(len(self.levels) - 1, -1, -1):
-            pattern, own, low, high = self.levels[depth]
-            diff = diff + np.bitwise_count((self.prints[query] ^ pattern[node]) & own[node])
-            keep = diff <= max_diff
-            node, query, diff = node[keep], query[keep], diff[keep]
-            if depth:
-                n = high[node] - low[node]
-                child = np.repeat(low[node], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                node, query, diff = child, np.repeat(query, n), np.repeat(diff, n)
-        later = node > query
-        return query[later], node[later]
-
-
-def _roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        above = [np.repeat(mask, fanout)[: len(levels[i][0])] for i, (_, mask) in enumerate(levels[1:])] + [np.zeros(1, np.uint64)]
+        self.levels = [(pattern, mask & ~upper) for (pattern, mask), upper in zip(levels, above)]
+        #: Nodes that searches met, and those of them that they left out with all below, by level.
+        self.met, self.pruned = [0] * len(levels), [0] * len(levels)
+
+    def search(self, queries: np.ndarray, max_diff: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, row) of all that differ in at most max_diff bits (of the row's mask), in portions."""
+        if not len(self.levels[0][0]) or not len(queries):
+            return
+        step = max(1, FRONTIER // self.fanout)
+        open_ = [(len(self.levels) - 1, np.zeros(min(step, len(queries) - i), np.int64), np.arange(i, min(i + step, len(queries))), np.uint8(0)) for i in range(0, len(queries), step)]
+        while open_:
+            depth, node, query, diff = open_.pop()
+            pattern, own = self.levels[depth]
+            diff = diff + np.bitwise_count((queries[query] ^ pattern[node]) & own[node])
+            keep = np.flatnonzero(diff <= max_diff)
+            self.met[depth] += len(node)
+            self.pruned[depth] += len(node) - len(keep)
+            if not depth:
+                if len(keep):
+                    yield query[keep], node[keep]
+                continue
+            below = len(self.levels[depth - 1][0])
+            for start in range(0, len(keep), step):
+                part = keep[start : start + step]
+                child = (node[part][:, None] * self.fanout + np.arange(self.fanout)).ravel()
+                inside = child < below
+                open_.append((depth - 1, child[inside], np.repeat(query[part], self.fanout)[inside], np.repeat(diff[part], self.fanout)[inside]))
+
+
+def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Joins the pairs in a forest whose rows point at their roots."""
     while len(a):
         ra, rb = parent[a], parent[b]
@@ -265,91 +168,125 @@ def _roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
-def forest(prints: np.ndarray, starts: np.ndarray, max_diff: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, root) for what is linked within each key; the rows of a key are in Gray order."""
-    sizes = np.diff(np.append(starts, len(prints)))
-    index = GrayIndex(prints, starts)
-    group = np.repeat(np.arange(len(starts)), sizes)
-    parent = np.arange(len(prints))
-    step = max(1, min(QUERIES * 64, FRONTIER // max(1, min(int(sizes.max()), FRONTIER))))
-    for start in range(0, len(prints), step):
-        rows = np.arange(start, min(start + step, len(prints)))
-        _roots(parent, *index.pairs(rows, group[rows], max_diff))
-    linked = np.flatnonzero(parent != np.arange(len(prints)))
-    return prints[linked], prints[parent[linked]]
-
-
-def linked_in_keys(rows: DataFrame, max_diff: int) -> DataFrame:
-    """``a, b``: a forest of links (a > b as unsigned numbers) within the keys of the keyed rows."""
-    spread = rows.select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key")
-
-    def search(batches):
-        held: pa.Table | None = None
-
-        def out(table: pa.Table):
-            mask, key, prints = (table.column(i).to_numpy() for i in range(3))
-            order = np.lexsort((gray_rank(prints.view(np.uint64)), key, mask))
-            mask, key, prints = mask[order], key[order], prints[order].view(np.uint64)
-            starts = np.flatnonzero(np.append(True, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1]))[: len(mask)])
-            a, b = forest(prints, starts, max_diff)
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b).view(np.int64)), pa.array(np.minimum(a, b).view(np.int64))], names=["a", "b"])
-
-        # Whole keys at a time: a key may go on in the next batch, so the last one waits.
-        for batch in batches:
-            if not len(batch):
-                continue
-            table = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, table]) if held is not None else table
-            mask, key = held.column(0).to_numpy(), held.column(1).to_numpy()
-            before = np.flatnonzero((mask != mask[-1]) | (key != key[-1]))
-            cut = int(before[-1]) + 1 if len(before) else 0
-            if cut:
-                yield out(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and len(held):
-            yield out(held)
+class Run:
+    """One run's fingerprints, past which visitors go."""
 
-    return spread.mapInArrow(search, "a long, b long")
+    def __init__(self, prints: np.ndarray, max_diff: int, fanout: int = FANOUT):
+        self.max_diff, rank = max_diff, gray_rank(prints)
+        order = np.argsort(rank)
+        self.prints, self.rank = prints[order], rank[order]
+        self.index, self.parent = GrayIndex(self.prints, fanout=fanout), np.arange(len(prints))
 
+    def visit(self, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links of visitors with later fingerprints of the run, at least one for each visitor and portion; more of them are kept in the run's own forest."""
+        rank = gray_rank(prints)
+        for query, row in self.index.search(prints, self.max_diff):
+            later = self.rank[row] > rank[query]
+            query, row = query[later], row[later]
+            order = np.argsort(query, kind="stable")
+            query, row = query[order], row[order]
+            first = np.append(True, query[1:] != query[:-1])[: len(query)]
+            again = np.flatnonzero(~first)
+            _unite(self.parent, row[again - 1], row[again])
+            yield prints[query[first]], self.prints[row[first]]
 
-# -- components --------------------------------------------------------------------------------
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        linked = np.flatnonzero(self.parent != np.arange(len(self.parent)))
+        return self.prints[linked], self.prints[self.parent[linked]]
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node, root`` for every node of the links that isn't its component's smallest (signed) number.
+# -- the search over all tasks -----------------------------------------------------------------
 
-    Large-star and small-star steps in turn, each over tables, until a round changes nothing.
-    """
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    measure = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-    state = measure(edges)
-    while state[0]:
-        both = edges.union(edges.select("v", "u"))
-        # A table, so that both sides of the join are plain exchanges, which Spark splits where a node has many links.
-        low = materialize(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "low")
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "large")
-        remove(links.sparkSession, low)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
-        remove(links.sparkSession, edges, large)
-        edges, before, state = new, state, measure(new)
-        if state == before:
-            break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
-def _components_of(prints: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
-    """``doc_id, fp, component_id``: ids of the documents' fingerprints and the smallest id that links reach."""
-    roots = components(links)
-    joined = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = materialize(joined.select("fp", "root").join(named, "root").select("fp", "component_id"), "components")
-    return prints.select("doc_id", "fp").join(ids, "fp")
 
+def runs(prints: DataFrame, run_rows: int = RUN_ROWS) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The ranks at which runs begin, and of each run its pattern, mask and number of fingerprints; a bounded number of rows on the driver."""
+    n = min(MAX_RUNS, max(1, math.ceil(prints.count() / run_rows)))
+    starts = np.zeros(0, np.int64)
+    if n > 1:
+        cuts = prints.agg(F.percentile_approx(rank_column("fp"), [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("cuts")).first()[0]
+        starts = np.unique(np.array(cuts, dtype=np.int64))
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_diff: int = 2, doc_id: str = "doc_id", text: str = "text", key_rows: int = KEY_ROWS) -> DataFrame:
+    def dealt(batches):
+        for batch in batches:
+            own = np.searchsorted(starts, _signed_rank(batch.column(0).to_numpy().view(np.uint64)), "right")
+            yield pa.RecordBatch.from_arrays([pa.array(own), batch.column(0)], names=["run", "fp"])
+
+    found = prints.mapInArrow(dealt, "run long, fp long").groupBy("run").agg(F.bit_and("fp").alias("every"), F.bit_or("fp").alias("some"), F.count("*").alias("n")).collect()
+    every, some, size = (np.zeros(len(starts) + 1, dtype=np.int64) for _ in range(3))
+    for row in found:
+        every[row.run], some[row.run], size[row.run] = row.every, row.some, row.n
+    mask = ~(every ^ some).view(np.uint64)
+    return starts, {"pattern": every.view(np.uint64) & mask, "mask": mask, "n": size}
+
+
+def copies(nodes: dict[str, np.ndarray], max_diff: int, visitors: int = VISITORS, per_row: int = VISITORS_PER_ROW) -> np.ndarray:
+    """How many copies of each run its visitors need: those of earlier runs that differ in at most max_diff of the bits that both runs share, and its own."""
+    pattern, mask, n = nodes["pattern"], nodes["mask"], nodes["n"]
+    most = np.zeros(len(n), np.int64)
+    for run in range(len(n)):
+        near = np.bitwise_count((pattern[: run + 1] ^ pattern[run]) & mask[: run + 1] & mask[run]) <= max_diff
+        most[run] = n[: run + 1][near].sum()
+    return np.maximum(1, -(-most // np.maximum(visitors, per_row * n)))
+
+
+def links(prints: DataFrame, max_diff: int, run_rows: int = RUN_ROWS, visitors: int = VISITORS) -> DataFrame:
+    """``a, b``: a forest of links between the distinct fingerprints ``fp``, which must be a table; it has the components of all links."""
+    starts, nodes = runs(prints, run_rows)
+    n_copies = copies(nodes, max_diff, visitors)
+    first = np.cumsum(n_copies) - n_copies  # a run's copies are numbered from here
+
+    def route(batches):
+        index = GrayIndex(nodes["pattern"], nodes["mask"])
+        for batch in batches:
+            x = batch.column(0).to_numpy().view(np.uint64)
+            own = np.searchsorted(starts, _signed_rank(x), "right")
+            # Members go to all copies of their run, visitors to one of each run's.
+            row = np.repeat(np.arange(len(x)), n_copies[own])
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(n_copies[own]) - n_copies[own], n_copies[own])
+            yield _routed(first[own[row]] + nth, False, x[row])
+            deal = (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            for query, run in index.search(x, max_diff):
+                on = run >= own[query]
+                query, run = query[on], run[on]
+                yield _routed(first[run] + (deal[query] % n_copies[run].astype(np.uint64)).astype(np.int64), True, x[query])
+
+    def find(batches):
+        held: list[np.ndarray] = []
+        run, at = None, None
+        for batch in batches:
+            copy, visits = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            x = batch.column(2).to_numpy().view(np.uint64)
+            cuts = np.flatnonzero((copy[1:] != copy[:-1]) | (visits[1:] != visits[:-1])) + 1
+            for part in np.split(np.arange(len(x)), cuts):
+                if not len(part):
+                    continue
+                if copy[part[0]] != at:
+                    if run is not None:
+                        yield _pairs(*run.forest())
+                    held, run, at = [], None, copy[part[0]]
+                if not visits[part[0]]:
+                    held.append(x[part])
+                    continue
+                run = run or Run(np.concatenate(held or [x[:0]]), max_diff)
+                for a, b in run.visit(x[part]):
+                    yield _pairs(a, b)
+        if run is not None:
+            yield _pairs(*run.forest())
+
+    routed = prints.select("fp").mapInArrow(route, "copy long, visits boolean, fp long")
+    dealt = routed.repartition(int(min(10_000, max(2 * n_copies.sum(), 1))), "copy").sortWithinPartitions("copy", "visits")
+    return dealt.mapInArrow(find, "a long, b long")
+
+
+def _routed(copy: np.ndarray, visits: bool, prints: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(copy), pa.array(np.full(len(copy), visits)), pa.array(prints.view(np.int64))], names=["copy", "visits", "fp"])
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_diff: int = 2, doc_id: str = "doc_id", text: str = "text", run_rows: int = RUN_ROWS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for each row.
 
     ``fingerprint`` has 16 hexadecimal digits. ``component_id`` is the smallest id that links reach, the row's
@@ -358,163 +295,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_diff: int = 2, doc_id
     """
     prints = materialize(fingerprints(docs, shingle, doc_id, text), "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    links = reduce(DataFrame.union, [linked_in_keys(rows, max_diff) for rows in split_keys(distinct.select("fp"), max_diff, key_rows)])
-    return _components_of(prints, distinct, links).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def _common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a bounded sample have, sorted, and the place of each in the order of counts."""
-    scale = 1 << 30
-    share = min(scale, SAMPLED * scale // max(1, texts.count()) + 1)
-
-    def sets(batches):
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, shingle).view(np.int64))], names=["h"])
-
-    counts = texts.filter(F.pmod(F.xxhash64("text"), F.lit(scale)) < share).select("text").mapInArrow(sets, "h long").groupBy("h").agg(F.count("*").alias("n"))
-    rows = counts.filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(COMMONS).toArrow()
-    hashes = rows.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], (len(hashes) - np.arange(len(hashes)))[order]
-
-
-def _by_key(rows: DataFrame, names: list[str], kind: str, compute) -> DataFrame:
-    """compute's tables for whole keys at a time, of rows dealt and sorted by key; a key may go on in the next batch."""
-
-    def search(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            key = batch.column(0).to_numpy()
-            before = np.flatnonzero(key != key[-1])
-            cut = int(before[-1]) + 1 if len(before) else 0
-            if held and (cut or key[0] != held[-1].column(0)[-1].as_py()):
-                yield from compute(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            elif cut:
-                yield from compute(pa.Table.from_batches([batch.slice(0, cut)]))
-            held.append(batch.slice(cut))
-        if held:
-            yield from compute(pa.Table.from_batches(held))
-
-    return rows.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(search, kind)
-
-
-def _places(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order by key and set, and each row's place and the size of its key's rows in that order."""
-    key, sid = table.column(0).to_numpy(), table.column(1).to_numpy()
-    order = np.lexsort((sid, key))
-    key = key[order]
-    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    sizes = np.diff(np.append(starts, len(key)))
-    return order, np.arange(len(key)) - np.repeat(starts, sizes), np.repeat(sizes, sizes)
-
-
-def _shared_keys(rows: DataFrame) -> DataFrame:
-    """``key, sid, n`` without keys that only one set has."""
-
-    def several(table: pa.Table):
-        order, _, sizes = _places(table)
-        yield from table.take(pa.array(order[sizes > 1])).combine_chunks().to_batches()
-
-    return _by_key(rows, ["key", "sid", "n"], "key int, sid long, n int", several)
-
-
-def _candidates(rows: DataFrame, last: int | None, least: float) -> DataFrame:
-    """``a, b``: a key's first sets (all without last) with its later ones, where components differ and sizes and shared keys allow the similarity.
-
-    What two sets share lies in both prefixes, or behind the one that ends first, where at most ceil(least * n) - 1 are left; so less keys than the
-    rest of the overlap that the similarity takes rule a pair out. With ``last`` the keys are counted in part, so a pair may wait for the last round.
-    """
-
-    def pairs(table: pa.Table):
-        order, place, _ = _places(table)
-        sid, n, root = (table.column(i).to_numpy()[order] for i in (1, 2, 3))
-        at, turn = np.flatnonzero(place > 0), 0
-        while len(at) and (last is None or turn < last):
-            other = at - place[at] + turn
-            most = np.maximum(n[at], n[other])
-            keep = (root[at] != root[other]) & (np.minimum(n[at], n[other]) >= least * most - 1e-9)
-            if keep.any():
-                both = np.ceil(least / (1 + least) * (n[at] + n[other]) - 1e-9)[keep]
-                need = (both - np.ceil(least * most[keep] - 1e-9) + 1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(sid[other[keep]]), pa.array(sid[at[keep]]), pa.array(need)], names=["a", "b", "need"])
-            turn += 1
-            at = at[place[at] > turn]
-
-    counted = _by_key(rows, ["key", "sid", "n", "root"], "a long, b long, need int", pairs).groupBy("a", "b", "need").count()
-    return counted.filter("count >= need").select("a", "b")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, distinct: DataFrame, least: float, shingle: int) -> DataFrame:
-    """``a, b``: the pairs whose sets have a Jaccard similarity of least; only the sets of pairs are made and shuffled."""
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(distinct.select("sid", "row"), "sid").select("row")
-
-    def sets(batches):
-        for batch in batches:
-            found = [shingle_set(x, shingle) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["sid", "hashes"])
-
-    def judge(batches):
-        for batch in batches:
-            keep = []
-            for one, two in zip(batch.column(2), batch.column(3)):
-                one, two = (np.frombuffer(x.as_buffer(), np.uint64) for x in (one, two))
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(both >= least * (len(one) + len(two) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    made = materialize(texts.join(wanted, "row", "left_semi").select("text").mapInArrow(sets, "sid long, hashes binary"), "sets")
-    joined = pairs.join(made.toDF("a", "one"), "a").join(made.toDF("b", "two"), "b").select("a", "b", "one", "two")
-    out = materialize(joined.mapInArrow(judge, "a long, b long"), "alike")
-    remove(pairs.sparkSession, made)
-    return out
-
-
-def _name(hashes: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
-
-
-def similar_documents(docs: DataFrame, min_similarity: float = 0.8, shingle: int = 5, max_diff: int = 2, doc_id: str = "doc_id", text: str = "text", key_rows: int = KEY_ROWS) -> DataFrame:
-    """``doc_id, component_id``: as near_duplicates, with links between all texts whose sets of ``shingle`` words have that Jaccard similarity.
-
-    Fingerprints are those of three-word shingles. Nulls, blanks and repeated rows are treated as in near_duplicates.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    common, place = _common_shingles(texts, shingle)
-    shared = spark.sparkContext.broadcast((common, place))
-    fields = {"row": T.LongType(), "fp": T.LongType(), "sid": T.LongType(), "n": T.IntegerType(), "keys": T.ArrayType(T.IntegerType())}
-    kind = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *(T.StructField(name, x) for name, x in fields.items())])
-
-    def compute(batches):
-        for batch in batches:
-            read = batch.column(1).to_pylist()
-            sets = [shingle_set(x, shingle) for x in read]
-            # Half a hash is enough for a key: what it confuses is told apart by the sets.
-            keys = [first_shingles(x, min_similarity, *shared.value).astype(np.uint32).view(np.int32) for x in sets]
-            columns = [pa.array([fingerprint(x, 3) for x in read], pa.int64()), pa.array([_name(x) for x in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int32()), pa.array(keys, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", *fields])
-
-    prints = materialize(texts.mapInArrow(compute, kind), "sets")
-    distinct = materialize(prints.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct")
-    # Fingerprints within max_diff bits, as links between the least sets that have them.
-    owners = materialize(prints.select("fp", "sid").distinct(), "owners")
-    owner = materialize(owners.groupBy("fp").agg(F.min("sid").alias("owner")), "owner")
-    near = reduce(DataFrame.union, [linked_in_keys(rows, max_diff) for rows in split_keys(owner.select("fp"), max_diff, key_rows)])
-    near = near.join(owner.toDF("a", "x"), "a").join(owner.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    roots = components(near.union(owners.join(owner, "fp").filter("sid <> owner").select("sid", "owner")))
-    each = distinct.select(F.explode("keys").alias("key"), "sid", "n")
-    keys = materialize(_shared_keys(each), "keys")
-    for last in ROUNDS:
-        rows = keys.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", F.coalesce("root", "sid").alias("root"))
-        pairs = materialize(_candidates(rows, last, min_similarity), "pairs")
-        if not pairs.isEmpty():
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_verified(pairs, texts, distinct, min_similarity, shingle)))
-    joined = distinct.join(roots, distinct["sid"] == roots["node"], "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
+    roots = components(links(distinct.select("fp"), max_diff, run_rows))
+    joined = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = materialize(joined.select("sid", "root").join(named, "root").select("sid", "component_id"), "components")
-    return prints.select("doc_id", "sid").join(ids, "sid").select("doc_id", "component_id")
+    ids = materialize(joined.select("fp", "root").join(named, "root").select("fp", "component_id"), "components")
+    remove(docs.sparkSession, distinct, roots)
+    return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
