@@ -4,8 +4,11 @@ Each task packs the documents that it reads, in their order, so nothing is shuff
 task is done again alone. A document's whole windows are full at once; its rest is placed by the
 sum-of-squares rule: into the open window (or a new one) for which the squared counts of windows at
 each fill level add up to least. The counts are kept in an array by level. Windows that are full
-are written; open ones stay in memory, of which there are at most a stated number. When there are
-more, and at a task's end, what the open windows hold is laid end to end and cut into full
+are written; open ones stay in memory, of which there are at most a stated number. With so many open the rule chooses
+among them alone; a rest that none of them has room for is cut, so that its first part closes the fullest one, and what is left of it is placed by
+the rule. So the rule places all but one rest for each window closed, also where no sum of lengths ever fills a window.
+
+At a task's end what the open windows hold is laid end to end and cut into full
 windows. A task's last tokens, fewer than a window, become sequences whose lengths are powers of two, which need no padding.
 
 A null text is the empty text. A document's ids end with ``end_id``, so an empty document has one
@@ -24,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkgauge.llm.common import small_batches
 from talkgauge.llm.tokens import encoder
 
 WINDOW = 2_048
@@ -33,25 +35,28 @@ MAX_OPEN = 1_024
 #: Sequences of a task are numbered upwards from its partition's number times this.
 SEQUENCES_PER_TASK = 1 << 40
 ROWS = 5_000
+_NEVER = np.iinfo(np.int64).max // 2
 
 
 class Packer:
-    """Places documents; ``rows`` gets (document, start, length, crc32, tokens, sequence, offset)."""
+    """Places documents; ``rows`` gets (document, start, length, crc32, tokens, sequence, offset), and the piece's ids as bytes if they are to be kept."""
 
-    def __init__(self, window: int = WINDOW, max_open: int = MAX_OPEN, first_sequence: int = 0):
-        self.window, self.max_open, self.rows = window, max_open, []
+    def __init__(self, window: int = WINDOW, max_open: int = MAX_OPEN, first_sequence: int = 0, keep_ids: bool = False):
+        self.window, self.max_open, self.keep_ids, self.rows = window, max(1, max_open), keep_ids, []
         self._next = first_sequence
         # The cost of one more window at a level: 2 n + 1 with n windows there, nothing for a full one.
         self._cost = np.ones(window + 1, dtype=np.int64)
         self._cost[window] = 0
         self._open: list[list[list]] = [[] for _ in range(window)]
         self._n_open = 0
+        #: Rests that were cut to close a window.
+        self.cuts = 0
 
     def _write(self, pieces: list[tuple]) -> None:
         offset = 0
         for document, start, data, tokens in pieces:
             length = len(data) // 4
-            self.rows.append((document, start, length, zlib.crc32(data), tokens, self._next, offset))
+            self.rows.append((document, start, length, zlib.crc32(data), tokens, self._next, offset, *([data] if self.keep_ids else [])))
             offset += length
         self._next += 1
 
@@ -66,27 +71,44 @@ class Packer:
     def _place(self, length: int, piece: tuple) -> None:
         cost, window = self._cost, self.window
         now = cost[1 : window - length + 1]
-        change = np.where(now > 1, cost[1 + length :] - now + 2, cost[length] + 1)
+        change = np.where(now > 1, cost[1 + length :] - now + 2, _NEVER)
         # Among equal changes the fullest window; a new one only where it is strictly better.
         level = len(change) - int(np.argmin(change[::-1])) if len(change) else 0
-        if not level or cost[level] == 1 or change[level - 1] > cost[length]:
-            level, pieces = 0, []
+        fits = level and change[level - 1] < _NEVER
+        if self._n_open >= self.max_open and not fits:
+            self._cut(length, piece)
+            return
+        if fits and (change[level - 1] <= cost[length] or self._n_open >= self.max_open):
+            pieces = self._taken(level)
         else:
-            pieces = self._open[level].pop()
-            cost[level] -= 2
-            self._n_open -= 1
+            level, pieces = 0, []
         pieces.append(piece)
-        if level + length == window:
+        self._put(level + length, pieces)
+
+    def _taken(self, level: int) -> list[tuple]:
+        self._cost[level] -= 2
+        self._n_open -= 1
+        return self._open[level].pop()
+
+    def _put(self, level: int, pieces: list[tuple]) -> None:
+        if level == self.window:
             self._write(pieces)
             return
-        self._open[level + length].append(pieces)
-        cost[level + length] += 2
+        self._open[level].append(pieces)
+        self._cost[level] += 2
         self._n_open += 1
-        if self._n_open > self.max_open:
-            self._close()
+
+    def _cut(self, length: int, piece: tuple) -> None:
+        """Closes the fullest window with the first part of a rest that no open window has room for, and places what is left of it."""
+        level = int(np.flatnonzero(self._cost[1 : self.window] > 1)[-1]) + 1
+        document, start, data, tokens = piece
+        n = self.window - level
+        self._write([*self._taken(level), (document, start, data[: 4 * n], tokens)])
+        self.cuts += 1
+        self._place(length - n, (document, start + n, data[4 * n :], tokens))
 
     def _close(self) -> list[tuple]:
-        """Cuts what the open windows hold into full ones; the rest is left open and returned."""
+        """Cuts what the open windows hold into full ones, and returns what is left."""
         pieces, length = [], 0
         for level in range(self.window - 1, 0, -1):
             for held in self._open[level]:
@@ -101,10 +123,6 @@ class Packer:
             self._open[level] = []
         self._cost[1 : self.window] = 1
         self._n_open = 0
-        if length:
-            self._open[length].append(pieces)
-            self._cost[length] += 2
-            self._n_open = 1
         return pieces
 
     def finish(self) -> None:
@@ -124,25 +142,30 @@ class Packer:
             left -= size
 
 
-def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = 1, max_open: int = MAX_OPEN) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = 1, max_open: int = MAX_OPEN, keep_ids: bool = False) -> DataFrame:
     """One row for each piece of a document: where it lies in the document and in its sequence.
 
-    ``sequence_id`` is unique over all tasks. Every id of a document is in exactly one piece.
+    ``sequence_id`` is unique over all tasks. Every id of a document is in exactly one piece. With ``keep_ids`` a last column ``ids`` has the piece's token
+    ids, so a sequence is its pieces' ids in order of ``offset``.
     """
-    small_batches(docs.sparkSession)
     end = np.array([end_id], dtype=np.uint32).tobytes()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     kind = docs.schema[doc_id].dataType
     schema = T.StructType([T.StructField(names[0], kind), *(T.StructField(name, T.LongType()) for name in names[1:])])
+    if keep_ids:
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def packed(batches):
-        packer, arrow = Packer(window, max_open, TaskContext.get().partitionId() * SEQUENCES_PER_TASK), None
+        packer, arrow = Packer(window, max_open, TaskContext.get().partitionId() * SEQUENCES_PER_TASK, keep_ids), None
 
         def out():
             columns = list(zip(*packer.rows))
             packer.rows = []
-            kinds = [arrow, *[pa.int64()] * 6]
-            return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(columns, kinds)], names=names)
+            arrays = [pa.array(column, kind) for column, kind in zip(columns, [arrow, *[pa.int64()] * 6])]
+            if keep_ids:
+                ends = np.cumsum([0, *(len(x) // 4 for x in columns[7])], dtype=np.int32)
+                arrays.append(pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(columns[7]), dtype=np.int32)))
+            return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
         for batch in batches:
             arrow = batch.column(0).type

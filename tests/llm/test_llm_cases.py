@@ -3,14 +3,12 @@
 import hashlib
 import random
 import zlib
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -18,7 +16,6 @@ from talkgauge.llm import decontaminate as dc
 from talkgauge.llm import language_id as li
 from talkgauge.llm import licenses as lc
 from talkgauge.llm import pii
-from talkgauge.llm import simhash as sh
 from talkgauge.llm import token_counts as tc
 from talkgauge.llm import va_file as va
 from talkgauge.llm import warc
@@ -129,6 +126,27 @@ def test_placement_minimises_squares():
         assert sum(len(x) ** 2 for x in packer._open[1:]) == min(options)
 
 
+@pytest.mark.parametrize("lengths", [[29], [2_047], [1_025], [700, 701], [5, 2_000]])
+def test_placement_where_no_window_fills(lengths):
+    """Equal lengths fill no window exactly: with as many open as may be, the rule still places all but one rest for each window closed."""
+    packer, n = Packer(max_open=64), 40_000 if lengths == [29] else 4_000
+    for i in range(n):
+        packer.add(i, np.zeros(lengths[i % len(lengths)], np.uint32).tobytes())
+    written = len({row[5] for row in packer.rows})
+    assert 0 < packer.cuts <= written and (lengths != [29] or packer.cuts < 0.02 * n) and packer._n_open <= 64
+    packer.finish()
+    assert sum(row[2] for row in packer.rows) == sum(lengths[i % len(lengths)] for i in range(n))
+
+
+def test_packing_keeps_ids(messy):
+    ids = WordEncoder(TOKENIZER)
+    whole = {i: x for i, x in zip([m[0] for m in MESSY], ids.id_bytes([m[1] for m in MESSY]))}
+    rows = pack(messy, TOKENIZER, keep_ids=True).collect()
+    for r in rows:
+        data = np.array(r.ids, dtype=np.uint32).tobytes()
+        assert zlib.crc32(data) == r.ids_crc32 and len(r.ids) == r.length and data == (whole[r.doc_id] + b"\1\0\0\0")[4 * r.start :][: len(data)]
+
+
 def test_packing_messy_texts(messy, nothing):
     rows = pack(messy, TOKENIZER).collect()
     assert sum(r.length for r in rows if r.doc_id == 2) == 1 and sum(r.length for r in rows if r.doc_id == 3) == 2
@@ -389,174 +407,6 @@ def test_batch_scores_equal_single_ones(texts):
         assert label == model.labels[sums.argmax()] and score == pytest.approx(1 / np.exp(gaps).sum())
 
 
-# -- SimHash -----------------------------------------------------------------------------------
-
-
-def components(prints, k):
-    root = list(range(len(prints)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in range(len(prints)):
-        for j in np.flatnonzero(np.bitwise_count(prints[i + 1 :] ^ prints[i]) <= k):
-            a, b = find(i), find(i + 1 + int(j))
-            root[max(a, b)] = min(a, b)
-    return [find(i) for i in range(len(prints))]
-
-
-def clustered(n, spread, seed=3):
-    rng, out = random.Random(seed), set()
-    for _ in range(4):
-        base = rng.getrandbits(64)
-        for _ in range(n):
-            x = base
-            for _ in range(rng.randint(0, spread)):
-                x ^= 1 << rng.randint(0, 63)
-            out.add(x)
-    return np.array(sorted(out), dtype=np.uint64)
-
-
-@pytest.mark.parametrize("max_diff", [0, 1, 2, 3])
-def test_masks_miss_nothing(max_diff):
-    rng = random.Random(max_diff)
-    masks = sh.first_masks(max_diff)
-    for mask in masks[:3]:
-        for level in (masks, sh.finer_masks(mask, max_diff)):
-            for _ in range(200 if level else 0):
-                bits = [b for b in range(64) if level is masks or not mask >> b & 1]
-                diff = sum(1 << b for b in rng.sample(bits, max_diff))
-                assert any(diff & m & (2**64 - 1) == 0 for m in level)
-
-
-@pytest.mark.parametrize("max_diff", [1, 2, 4])
-def test_gray_index_finds_all_pairs(max_diff):
-    prints = clustered(150, 6)
-    prints = prints[np.argsort(sh.gray_rank(prints))]
-    starts = np.array([0, 1, 40, 41, 300])
-    group = np.repeat(np.arange(5), np.diff([*starts, len(prints)]))
-    a, b = sh.GrayIndex(prints, starts, fanout=4).pairs(np.arange(len(prints)), group, max_diff)
-    expected = {(i, j) for i in range(len(prints)) for j in range(i + 1, len(prints)) if group[i] == group[j] and int(prints[i] ^ prints[j]).bit_count() <= max_diff}
-    assert set(zip(a.tolist(), b.tolist())) == expected and len(a) == len(expected)
-
-
-def test_gray_rank():
-    codes = np.array([i ^ i >> 1 for i in range(300)], dtype=np.uint64)
-    assert sh.gray_rank(codes).tolist() == list(range(300))
-
-
-@pytest.mark.parametrize("key_rows", [2_000, 15])
-def test_links_of_clusters(spark, key_rows):
-    prints = clustered(200, 6)
-    ids = prints.view(np.int64).tolist()
-    keys = sh.split_keys(spark.createDataFrame([(x,) for x in ids], "fp long"), 2, key_rows)
-    assert (len(keys) > 1) == (key_rows == 15)
-    roots = {r.node: r.root for r in sh.components(reduce(DataFrame.union, [sh.linked_in_keys(x, 2) for x in keys])).collect()}
-    found = components(prints, 2)
-    least = {}
-    for x, c in zip(ids, found):
-        least[c] = min(least.get(c, x), x)
-    assert [roots.get(x, x) for x in ids] == [least[c] for c in found]
-
-
-def test_components_of_chains(spark):
-    edges = [(i + 1, i) for i in range(40)] + [(100, 0), (-5, 40), (300, 200), (200, 300), (7, 7)]
-    roots = {r.node: r.root for r in sh.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert set(roots.values()) == {-5, 200} and len(roots) == 43
-    assert sh.components(spark.createDataFrame([], "a long, b long")).count() == 0
-
-
-def test_near_duplicates_of_messy_texts(messy, nothing):
-    rows = sh.near_duplicates(messy).collect()
-    assert len(rows) == len(MESSY)
-    got = {r.doc_id: r for r in rows}
-    assert {got[i].component_id for i in (2, 3, 4)} == {2} and got[2].fingerprint == "0" * 16
-    assert got[6].component_id == got[7].component_id == 6 and got[None].component_id is None
-    assert sh.near_duplicates(nothing).count() == 0
-    assert sh.fingerprint("One  two\x0bTHREE", 3) == sh.fingerprint("one two three", 3) != sh.fingerprint("one two\xa0three", 3)
-
-
-def test_similar_documents(spark, messy, nothing):
-    rng = random.Random(5)
-    words = [f"{a}{b}" for a in ("al", "be", "co", "du", "en", "fi") for b in ("ra", "to", "mi", "nu", "se", "lo", "ka")]
-    rows, near = [], []
-    for i in range(40):
-        text = [rng.choice(words) for _ in range(240)]
-        rows.append((10 * i, " ".join(text)))
-        for j in range(1, 4):  # one word in eighty changed: a similarity of about .88
-            rows.append((10 * i + j, " ".join("other" if n % 80 == 20 * j else w for n, w in enumerate(text))))
-            near.append(10 * i + j)
-        rows.append((10 * i + 9, " ".join([*text[:60], *(rng.choice(words) for _ in range(180))])))  # a shared passage only
-    got = {r.doc_id: r.component_id for r in sh.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(got[i] == i for i, _ in rows if i not in set(near)) and all(got[i] // 10 == i // 10 for i in near)
-    assert sum(got[i] != i for i in near) >= 0.9 * len(near)
-    assert sh.similar_documents(nothing).count() == 0
-    found = {r.doc_id: r.component_id for r in sh.similar_documents(messy).collect()}
-    assert found[6] == found[7] == 6 and {found[i] for i in (2, 3, 4)} == {2} and found[1] == 1
-
-
-def _five(text):
-    words = text.split()
-    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
-
-
-def _jaccard(a, b):
-    return len(a & b) / len(a | b)
-
-
-def _lengthened(n, seed):
-    """n texts of 250 words of their own, each with a second one that words were appended to or cut from."""
-    rng = random.Random(seed)
-    rows = []
-    for i in range(n):
-        words = [f"w{rng.randint(0, 10**6)}" for _ in range(250)]
-        more = rng.randint(20, 100)
-        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, *(f"w{rng.randint(0, 10**6)}" for _ in range(more))] if i % 2 else words[more:]))]
-    return rows
-
-
-def test_similar_documents_miss_no_pair(spark):
-    rows = _lengthened(120, 6)
-    got = {r.doc_id: r.component_id for r in sh.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    alike = {i: _jaccard(_five(rows[i][1]), _five(rows[i + 1][1])) >= 0.8 for i in range(0, len(rows), 2)}
-    assert 20 < sum(alike.values()) < 100 and all(got[i + 1] == i for i in alike if alike[i])
-
-
-@pytest.mark.parametrize("rounds", [sh.ROUNDS, (1, None)])
-def test_similar_documents_equal_brute_force(spark, monkeypatch, rounds):
-    """Links at .8 and none below, in groups too whose texts are alike in part."""
-    monkeypatch.setattr(sh, "ROUNDS", rounds)
-    rng = random.Random(8)
-    rows = _lengthened(40, 7)
-    for _ in range(3):
-        words = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
-        for _ in range(25):
-            at = rng.sample(range(200), rng.randint(2, 8))
-            rows.append((len(rows), " ".join(f"x{rng.randint(0, 10**6)}" if i in at else w for i, w in enumerate(words))))
-    prints, sets = [sh.fingerprint(x, 3) % 2**64 for _, x in rows], [_five(x) for _, x in rows]
-    root = list(range(len(rows)))
-    for b in range(len(rows)):
-        for a in range(b):
-            if (prints[a] ^ prints[b]).bit_count() <= 2 or _jaccard(sets[a], sets[b]) >= 0.8:
-                low, high = sorted((root[a], root[b]))
-                root = [low if x == high else x for x in root]
-    got = {r.doc_id: r.component_id for r in sh.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [got[i] for i in range(len(rows))] == root and 20 < len(set(root)) < len(rows)
-
-
-@settings(max_examples=20, deadline=None)
-@given(st.integers(0, 10**6))
-def test_sketches_estimate_similarity(seed):
-    rng = random.Random(seed)
-    a = [str(rng.randint(0, 10**6)) for _ in range(300)]
-    b = [str(rng.randint(0, 10**6)) if rng.random() < 0.02 else w for w in a]
-    x, y = ({tuple(s[i : i + 5]) for i in range(296)} for s in (a, b))
-    one, two = (np.frombuffer(sh.sketch(" ".join(s)), np.uint8) for s in (a, b))
-    assert abs((one == two).mean() - len(x & y) / len(x | y)) < 0.25 and not any(sh.sketch(None))
-
-
 # -- licenses ----------------------------------------------------------------------------------
 
 
