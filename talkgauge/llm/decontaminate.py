@@ -6,18 +6,20 @@ are joined with those at every word of every training text. A hit fixes how an i
 the two are compared word by word, and of the runs with at least the stated share of matching words the one with most of
 them is an overlap if it has enough.
 
-Items go out in blocks of a fixed number, each with one pass over the texts; texts are read
+Items go out in blocks of a bounded number of words, each with one pass over the texts; texts are read
 where they lie and nothing is shuffled, so a passage that a third of all documents hold costs each task its own documents only.
 
-Words are runs of letters and digits in lower case. Whole texts are searched. A null or empty text has no overlap. An
-item with fewer words than MIN_ITEM is no passage and is left out, as is a null one; an item that is shorter than the
-seeds is found by all its words in a row. Repeated documents and items are compared each; empty tables give no rows.
+Words are runs of letters and digits in lower case. Whole texts are searched. A null or empty text has no overlap, and a null item or one
+without words has none either. An item that is shorter than the seeds is found by all its words in a row, one of a single word too; since a
+few words in a row are no sign of a leak, such items are reported but documents are dropped for items of MIN_ITEM words or more only.
+Repeated documents and items are compared each; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,21 +27,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from talkgauge.llm.common import materialize, shared_path
 
 #: Masks over eleven words of which seven count; and four words in a row, which any run of 13 matches at 80 % has somewhere.
 SEEDS = ("11101100101", "10110101101", "11010011011", "1111")
 #: An overlap has as many matching words at least (or all of a shorter item), and such a share of matches.
 MIN_WORDS = 13
 MIN_SHARE = 0.8
+#: Words of an item for which documents are dropped.
 MIN_ITEM = 5
-#: Items of one block; a block of usual items takes some 50 MB in a worker.
-BLOCK_ITEMS = 20_000
+#: Words of the items of one block, about; a block takes some 50 MB in a worker.
+BLOCK_WORDS = 500_000
 #: Characters of texts that are hashed together.
 GROUP_CHARS = 500_000
 #: Hits that are made distinct together.
 HITS = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
 _FILTER_BITS = 22
+_ROW = "talkgauge_decontamination_row"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -70,8 +75,8 @@ class Overlap:
 class Items:
     """Benchmark items with their seeds; finds overlaps in texts."""
 
-    def __init__(self, items: list[tuple[object, str]], seeds: tuple[str, ...] = SEEDS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE):
-        split = [(item, words) for item, text in items if len(words := words_of(text)) >= MIN_ITEM]
+    def __init__(self, items: list[tuple[object, str]], seeds: tuple[str, ...] = SEEDS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE, min_item: int = 1):
+        split = [(item, words) for item, text in items if len(words := words_of(text)) >= max(1, min_item)]
         self.names = [item for item, _ in split]
         self.vocabulary: dict[str, int] = {}
         for _, words in split:
@@ -82,7 +87,7 @@ class Items:
         masks = [tuple(i for i, c in enumerate(seed) if c == "1") for seed in seeds]
         self.span = max((mask[-1] + 1 for mask in masks), default=0)
         short = {len(x) for x in self.items if len(x) < self.span}
-        self.masks = [*masks, *(tuple(range(n)) for n in sorted(short))]
+        self.masks, self.seeds = [*masks, *(tuple(range(n)) for n in sorted(short))], len(masks)
         keys, places = [], []
         for i, ids in enumerate(self.items):
             for number, mask in enumerate(self.masks):
@@ -115,7 +120,11 @@ class Items:
                 at = np.repeat(at, size)
                 text = np.searchsorted(starts, at, "right") - 1
                 item, place = self.places[found].T
-                codes = (text * len(self.items) + item) * reach + (at - starts[text] - place + longest)
+                pair = text * len(self.items) + item
+                codes = pair * reach + (at - starts[text] - place + longest)
+                if number >= self.seeds:  # a whole item in a row: its first place in a text is enough
+                    codes = codes[np.unique(pair, return_index=True)[1]]
+                    codes = codes[~np.isin(codes // reach, distinct // reach)]
                 distinct = np.union1d(distinct, codes)
         pair, shift = np.divmod(distinct, reach)
         return np.stack([pair // len(self.items), pair % len(self.items), shift - longest], axis=1)
@@ -172,44 +181,76 @@ class Items:
         yield from self.overlaps(group)
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, size: int):
-    """The benchmark's items in broadcasts of a fixed number of items."""
-    context, block = benchmark.sparkSession.sparkContext, []
-    for row in benchmark.select(item_id, text).toLocalIterator():
+def _blocks(benchmark: DataFrame, item_id: str, text: str, words: int, min_item: int = 1):
+    """The benchmark's items in broadcasts of a bounded number of words."""
+    context, block, size = benchmark.sparkSession.sparkContext, [], 0
+    for row in benchmark.select(item_id, text).filter(F.col(text).isNotNull()).toLocalIterator():
+        n = len(words_of(row[1]))
+        if block and size + n > words:
+            yield context.broadcast(Items(block, min_item=min_item))
+            block, size = [], 0
         block.append((row[0], row[1]))
-        if len(block) == size:
-            yield context.broadcast(Items(block))
-            block = []
+        size += n
     if block:
-        yield context.broadcast(Items(block))
+        yield context.broadcast(Items(block, min_item=min_item))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_items: int = BLOCK_ITEMS) -> DataFrame:
+def _each_block(blocks, one, empty: DataFrame, name: str) -> DataFrame:
+    """one(block) of a single block as it is, of several as parts of one table, so that the plan doesn't grow with the benchmark."""
+    spark, path = empty.sparkSession, None
+    for block, more in _ahead(blocks):
+        if path is None and not more:
+            return one(block)
+        path = path or shared_path(spark, name)
+        one(block).write.mode("append").parquet(path)
+        block.unpersist()
+    return spark.read.schema(empty.schema).parquet(path) if path else empty
+
+
+def _ahead(blocks):
+    """Each block, and whether another one follows."""
+    blocks = iter(blocks)
+    block = next(blocks, None)
+    while block is not None:
+        after = next(blocks, None)
+        yield block, after is not None
+        block = after
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS, min_item: int = 1) -> DataFrame:
     """One row for each document and item that overlap, with the best overlap: ``doc_id, item_id,
     matched_words, overlap_words, doc_start, item_start`` (positions count words from 0)."""
     spark = docs.sparkSession
     names = ["doc_id", "item_id", "matched_words", "overlap_words", "doc_start", "item_start"]
     kinds = [docs.schema[doc_id].dataType, benchmark.schema[item_id].dataType, *[T.LongType()] * 4]
     schema = T.StructType([T.StructField(name, kind) for name, kind in zip(names, kinds)])
-    found = spark.createDataFrame([], schema)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    for block in _blocks(benchmark, item_id, item_text, block_items):
 
-        def find(batches, items=block):
+    def one(items):
+        def find(batches):
             for batch in batches:
                 out = [(doc, o.item, o.matched, o.length, o.text_start, o.item_start) for doc, each in zip(batch.column(0).to_pylist(), items.value.groups(batch.column(1).to_pylist())) for o in each]
                 if out:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, row)) for row in out])
 
-        found = found.union(rows.mapInArrow(find, schema))
-    return found
+        return rows.mapInArrow(find, schema)
+
+    return _each_block(_blocks(benchmark, item_id, item_text, block_words, min_item), one, spark.createDataFrame([], schema), "overlaps")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """The documents, all columns as they are, without those that overlap an item."""
-    for block in _blocks(benchmark, item_id, item_text, block_items):
-        docs = docs.filter(_clean(block)(F.col(text)))
-    return docs
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS, min_item: int = MIN_ITEM) -> DataFrame:
+    """The documents, all columns as they are, without those that overlap an item of min_item words or more."""
+    spark = docs.sparkSession
+    blocks = _ahead(_blocks(benchmark, item_id, item_text, block_words, min_item))
+    block, more = next(blocks, (None, False))
+    if not more:
+        return docs.filter(_clean(block)(F.col(text))) if block else docs
+    # Several blocks: rows are numbered once, and what each block finds is part of one table.
+    path, rows = shared_path(spark, "contaminated"), materialize(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+    for block in chain([block], (block for block, _ in blocks)):
+        rows.filter(~_clean(block)(F.col(text))).select(_ROW).write.mode("append").parquet(path)
+        block.unpersist()
+    return rows.join(spark.read.schema(rows.select(_ROW).schema).parquet(path).distinct(), _ROW, "left_anti").select(docs.columns)
 
 
 def _clean(block):

@@ -28,7 +28,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)

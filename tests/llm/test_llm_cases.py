@@ -326,6 +326,7 @@ def test_overlaps(passage, found):
     texts = [f"before {passage} after", "", None, "the of and the of and", "nothing here " * 50, passage]
     got = items.overlaps(texts)
     assert [[o.matched for o in each if o.item == "x"] for each in got] == [[found] if found else [], [], [], [], [], [found] if found else []]
+    assert [[(o.matched, o.text_start) for o in each if o.item == "tiny"] for each in got] == [[], [], [], [(3, 0)], [], []]
 
 
 @pytest.mark.parametrize("n, changed", [(14, 1), (15, 1), (15, 2), (16, 2), (16, 3), (18, 3), (20, 4)])
@@ -341,6 +342,37 @@ def test_substitutions_at_any_place(n, changed):
     assert items.overlaps([" ".join("other" if i in fewer else w for i, w in enumerate(words))]) == [[]]
 
 
+def test_exact_words_before_a_weak_tail():
+    """13 words in a row are an overlap whatever follows them."""
+    words = ITEM.split()
+    tail = [w if i % 7 > 1 else "other" for i, w in enumerate(words[13:])]
+    found = dc.Items([("x", ITEM)]).overlaps([" ".join([*words[:13], *tail]), " ".join([*words[:13], *["other"] * 27]), " ".join(["other"] * 27 + words[-13:])])
+    assert [len(x) for x in found] == [1, 1, 1] and all(x[0].matched >= 13 for x in found)
+
+
+@pytest.mark.parametrize("changed", [0, 1, 2, 3])
+def test_recall_of_thirteen_matches(changed):
+    """13 matching words with up to three substitutions between them (81 %), anywhere in an item and in a text: all are found."""
+    rng, words, missed = random.Random(changed), ITEM.split(), 0
+    items = dc.Items([("x", ITEM)])
+    for _ in range(500):
+        at = rng.randint(0, 40 - 13 - changed)
+        inner = set(rng.sample(range(1, 12 + changed), changed))
+        passage = ["other" if i in inner else w for i, w in enumerate(words[at : at + 13 + changed])]
+        missed += not items.overlaps([" ".join([*(f"a{rng.randint(0, 99)}" for _ in range(rng.randint(0, 30))), *passage, *(f"b{rng.randint(0, 99)}" for _ in range(20))])])[0]
+    assert missed == 0
+
+
+def test_items_of_few_words(spark):
+    """They are matched whole and reported once for a text; documents are dropped for longer items only, unless asked for."""
+    items = dc.Items([("one", "Yes"), ("two", "red car"), ("four", "a b c d"), ("null", None), ("blank", " - ")])
+    got = items.overlaps(["yes, yes: a red car", "a b c, d e", "a b c e d", "yesterday red cars", None])
+    assert [sorted((o.item, o.matched, o.length) for o in each) for each in got] == [[("one", 1, 1), ("two", 2, 2)], [("four", 4, 4)], [], [], []]
+    docs, benchmark = spark.createDataFrame([(1, "yes or no"), (2, "no")], "doc_id long, text string"), spark.createDataFrame([("i", "Yes")], "item_id string, text string")
+    assert [(r.doc_id, r.item_id) for r in dc.overlaps(docs, benchmark).collect()] == [(1, "i")]
+    assert dc.drop_contaminated(docs, benchmark).count() == 2 and [r.doc_id for r in dc.drop_contaminated(docs, benchmark, min_item=1).collect()] == [2]
+
+
 def test_short_items_and_repeats():
     items = dc.Items([("short", "one two three four five six"), ("again", "one two three four five six")])
     got = items.overlaps(["zero one two three four five six seven", "one two three four five sixty"])
@@ -351,10 +383,10 @@ def test_short_items_and_repeats():
 def test_overlap_tables(spark, messy, nothing):
     benchmark = spark.createDataFrame([(1, ITEM), (2, None), (3, LONG[:700])], "item_id long, text string")
     docs = messy.withColumn("text", F.when(F.col("doc_id") == 1, f"so {ITEM}").otherwise(F.col("text")))
-    for size in (20_000, 1):
-        rows = dc.overlaps(docs, benchmark, block_items=size).collect()
+    for size in (500_000, 1):
+        rows = dc.overlaps(docs, benchmark, block_words=size).collect()
         assert sorted({(r.doc_id, r.item_id) for r in rows}) == [(1, 1), (6, 3), (7, 3)] and len(rows) == 4
-        clean = dc.drop_contaminated(docs, benchmark, block_items=size)
+        clean = dc.drop_contaminated(docs, benchmark, block_words=size)
         assert clean.columns == docs.columns and sorted(r.doc_id or 0 for r in clean.collect()) == [0, 2, 3, 3, 4, 5]
     assert dc.overlaps(nothing, benchmark).count() == 0 and dc.drop_contaminated(docs, benchmark.limit(0)).count() == len(MESSY)
 
