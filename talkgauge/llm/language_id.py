@@ -7,7 +7,7 @@ as one array, their rows of the matrix are gathered, and sums between the texts'
 log-likelihoods; no dense document vector is ever made.
 
 The classifier is fitted on about ``per_language`` labelled rows of each language, chosen by a hash of the
-text and not by their order. The labels' names are learned from those rows.
+text and of the row's id and not by their order, so copies of a text are chosen apart and the sample keeps its bound whatever repeats. The labels' names are learned from those rows.
 
 A text that is null or has no letter is ``und`` with score 0; so is every text if nothing was
 learned. Rows with a null label are never learned from. Equal scores go to the first label in
@@ -77,9 +77,10 @@ class Model:
     orders: tuple[int, ...] = ORDERS
 
 
-def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", per_language: int = PER_LANGUAGE, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> Model:
-    """Learns from a bounded sample of the labelled rows: about per_language rows of each label, by text hash."""
-    rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).dropna()
+def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str | None = None, per_language: int = PER_LANGUAGE, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> Model:
+    """Learns from a bounded sample of the labelled rows: about per_language rows of each label, by a hash of text and doc_id, if there is one."""
+    key = F.xxhash64(F.col(text), *([F.col(doc_id)] if doc_id else []))
+    rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), key.alias("key")).dropna()
     counts = {row[0]: row[1] for row in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} labels")
@@ -88,7 +89,7 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", per_languag
         return Model((), np.zeros((0, buckets)), np.zeros(0), orders)
     scale = 1 << 20
     share = F.create_map(*[x for label in labels for x in (F.lit(label), F.lit(min(scale, per_language * scale // counts[label] + 1)))])
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(scale)) < F.element_at(share, F.col("lang")))
+    sample = rows.filter(F.pmod("key", F.lit(scale)) < F.element_at(share, F.col("lang"))).select("lang", "text")
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
@@ -204,7 +205,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def fit_fold(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fits on the labelled documents outside the test fold."""
-    return fit(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1), per_language=per_language)
+    return fit(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1), doc_id="doc_id", per_language=per_language)
 
 
 def language_id(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
