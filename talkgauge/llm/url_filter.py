@@ -6,9 +6,9 @@ apart, so one sweep over sorted URLs and sorted rules keeps the rules that hold
 Of the rules on the stack whose path begins the URL's path, the longest wins.
 
 Each task sorts the URLs that it reads and sweeps them against the rules, which go out in blocks
-of a fixed number of rules. URLs are not shuffled, so a host that has a third of all rows costs no more than others.
-With more rules than one block holds there is one sweep for each block, and the longest of their
-results wins; nothing then depends on the rules' number but time.
+of a bounded number of rules and bytes. URLs are not shuffled, so a host that has a third of all rows costs no more than others.
+With more rules than one block holds there is one sweep for each block, whose fits are a part of one table, and the longest of a
+URL's fits wins; nothing then depends on the rules' number but time.
 
 A URL that is null or has no ``://`` has an empty host and path, and no rule fits it. Hosts are kept as
 they are but for A-Z in lower case, ports and user names included. A rule of which another has the same host and path
@@ -17,16 +17,14 @@ gives way to the one that blocks. Repeated rows are judged each; an empty table
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkgauge.llm.common import lower_ascii, materialize
+from talkgauge.llm.common import lower_ascii, materialize, shared_path
 
-#: Rules in one block; some 20 MB in a Python worker.
-BLOCK_RULES = 100_000
+#: Rules in one block, and bytes of their hosts and paths; some 20 MB in a Python worker.
+BLOCK_RULES, BLOCK_BYTES = 100_000, 8 << 20
 
 
 def host_and_path(url):
@@ -93,7 +91,7 @@ def _sweep(urls: DataFrame, rules: list, default: str) -> DataFrame:
     return urls.sortWithinPartitions("key").mapInArrow(judge, f"{kept}, rule string, verdict string")
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", default: str = "allow", block_rules: int = BLOCK_RULES) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", default: str = "allow", block_rules: int = BLOCK_RULES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``page_id, host, path, rule, verdict`` for each row.
 
     ``rules`` has ``host, path, action`` (allow or block); a path starts with ``/``. ``rule`` is the rule's host and path; it is null, and the verdict
@@ -105,19 +103,26 @@ def filter_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", ur
         host_key(lower_ascii(F.col("host"))).alias("key"), F.col("path"),
         F.concat(lower_ascii(F.col("host")), F.col("path")).alias("rule"), F.lower("action").alias("action"),
     ).dropna()
-    n = sorted_rules.count()
-    if n <= block_rules:
+    size = F.octet_length("key") + F.octet_length("rule") + F.octet_length("path")
+    n, n_bytes = sorted_rules.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    if n <= block_rules and n_bytes <= block_bytes:
         return _sweep(urls, [tuple(row) for row in sorted_rules.collect()], default)
     stored = materialize(sorted_rules, "rules")
     urls = materialize(urls.withColumn("row", F.monotonically_increasing_id()), "urls")
-    blocks, held = [], []
+    fits, part = shared_path(pages.sparkSession, "fits"), urls.select("row", "key", "path")
+    rank = F.struct(F.octet_length("rule").alias("n"), F.instr("rule", "/").alias("host"), (F.col("verdict") == "block").alias("block"))
+
+    def sweep(block: list) -> None:
+        _sweep(part, block, default).filter("rule is not null").select("row", "rule", "verdict", rank.alias("rank")).write.mode("append").parquet(fits)
+
+    held, held_bytes = [], 0
     for row in stored.orderBy("key", "path").toLocalIterator():
+        more = sum(len((row[i] or "").encode()) for i in range(3))
+        if held and (len(held) == block_rules or held_bytes + more > block_bytes):
+            sweep(held)
+            held, held_bytes = [], 0
         held.append(tuple(row))
-        if len(held) == block_rules:
-            blocks.append(_sweep(urls, held, default))
-            held = []
-    if held:
-        blocks.append(_sweep(urls, held, default))
-    rank = F.struct(F.coalesce(F.octet_length("rule"), F.lit(-1)), F.coalesce(F.instr("rule", "/"), F.lit(0)))
-    best = F.max_by(F.struct("page_id", "host", "path", "rule", "verdict"), rank)
-    return reduce(DataFrame.union, blocks).groupBy("row").agg(best.alias("best")).select("best.*")
+        held_bytes += more
+    sweep(held)
+    best = pages.sparkSession.read.parquet(fits).groupBy("row").agg(F.max_by(F.struct("rule", "verdict"), "rank").alias("best"))
+    return urls.join(best, "row", "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
