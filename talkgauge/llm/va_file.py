@@ -7,8 +7,12 @@ certain, so vectors whose upper bound is below it are out. The rest are read exa
 the order of their bounds (greatest upper bound first, as the least distance), until the k-th score
 found is above all bounds that are left.
 
-Queries go out in blocks of a fixed number, so what a task holds doesn't grow with their number. A
-block costs two passes over the file, and each task returns k rows for a query at most.
+Queries go out in blocks of a fixed number, so what a task holds doesn't grow with their number; a task takes them in
+portions, so that one pass over the file serves many. A block costs two passes, of which the first reads cells alone, and its results are a part of
+one table. Each task returns k rows for a query at most. The second pass reads the column of exact vectors as well: where a hundredth of all vectors are queries, nearly each
+vector is a candidate of one of them, and a row's cells and its vector lie side by side, so only what bounds leave is taken out of a batch and computed with.
+
+A table without vectors gives no rows, and other columns are ignored, whatever their names. A vector of any length is quantised whole.
 
 Components are floor(scale * x) with x as double. A vector that is null or that holds a null or
 non-finite component takes no part, nor does a row without an id. Vectors are compared with vectors of
@@ -19,20 +23,18 @@ Ties go to the smaller id; equal rows of one id each count. Scores beyond 64 bit
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkgauge.llm.common import materialize
+from talkgauge.llm.common import materialize, shared_path
 
 SCALE = 1024
 #: Cells of a component between its least and greatest value; a cell's number takes a byte.
 CELLS = 64
-#: Queries searched together: 1 MB of 64 components each for 2,000.
-BLOCK_QUERIES = 2_000
+#: Queries of one block, 16 MB of 64 components each, and those of a block bounded together.
+BLOCK_QUERIES, PORTION = 32_000, 2_000
 #: Vectors of the file bounded together, for each block of queries.
 ROWS = 2_000
 
@@ -107,6 +109,13 @@ def _exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.array([sum(int(a) * int(b) for a, b in zip(v, query)) for v in vectors], dtype=np.int64)
 
 
+def _portions(own: np.ndarray, vectors: np.ndarray, size: int = PORTION):
+    """(slice, ids, vectors) of a block's queries of one length."""
+    for start in range(0, len(own), size):
+        part = slice(start, start + size)
+        yield part, own[part], vectors[part]
+
+
 def _by_length(block: list[tuple[int, list[int]]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     out: dict[int, list] = {}
     for vec_id, v in block:
@@ -120,12 +129,11 @@ def _certain(file: DataFrame, edges, queries, k: int) -> DataFrame:
     def lower(batches):
         kept = {dims: np.full((k, len(ids)), -np.inf) for dims, (ids, _) in queries.value.items()}
         for dims, ids, cells, _, _ in _chunks(batches):
-            if dims in kept:
-                own, vectors = queries.value[dims]
+            for part, own, vectors in _portions(*queries.value[dims]) if dims in kept else ():
                 bound, _ = _bounds(edges, dims, cells, vectors)
                 bound[ids[:, None] == own[None, :]] = -np.inf
-                both = np.concatenate([kept[dims], bound])
-                kept[dims] = np.partition(both, len(both) - k, axis=0)[len(both) - k :]
+                both = np.concatenate([kept[dims][:, part], bound])
+                kept[dims][:, part] = np.partition(both, len(both) - k, axis=0)[len(both) - k :]
         for dims, best in kept.items():
             ids = np.repeat(queries.value[dims][0], k)
             values = best.T.ravel()
@@ -142,26 +150,24 @@ def _read(file: DataFrame, edges, queries, least, k: int) -> DataFrame:
     def best(batches):
         found: dict[int, list[tuple[int, int]]] = {}
         for dims, ids, cells, places, batch in _chunks(batches):
-            if dims not in queries.value:
-                continue
-            own, vectors = queries.value[dims]
-            _, upper = _bounds(edges, dims, cells, vectors)
-            upper[ids[:, None] == own[None, :]] = -np.inf
-            floor = np.array([least.value.get(int(q), -np.inf) for q in own])
             exact = batch.column(2)
-            for column in np.flatnonzero((upper >= floor).any(axis=0) & (upper.max(axis=0) > -np.inf)):
-                bound = upper[:, column]
-                order = np.flatnonzero((bound >= floor[column]) & (bound > -np.inf))
-                order = order[np.argsort(-bound[order], kind="stable")]
-                held = found.setdefault(int(own[column]), [])
-                for start in range(0, len(order), 4 * k):
-                    some = order[start : start + 4 * k]
-                    if len(held) >= k and bound[some[0]] < held[k - 1][0]:
-                        break
-                    x = np.array(exact.take(pa.array(places[some])).to_pylist(), dtype=np.int64).reshape(len(some), dims)
-                    held += zip(_exact(x, vectors[column]).tolist(), ids[some].tolist())
-                    held.sort(key=lambda pair: (-pair[0], pair[1]))
-                    del held[k:]
+            for _, own, vectors in _portions(*queries.value[dims]) if dims in queries.value else ():
+                _, upper = _bounds(edges, dims, cells, vectors)
+                upper[ids[:, None] == own[None, :]] = -np.inf
+                floor = np.array([least.value.get(int(q), -np.inf) for q in own])
+                for column in np.flatnonzero((upper >= floor).any(axis=0) & (upper.max(axis=0) > -np.inf)):
+                    bound = upper[:, column]
+                    order = np.flatnonzero((bound >= floor[column]) & (bound > -np.inf))
+                    order = order[np.argsort(-bound[order], kind="stable")]
+                    held = found.setdefault(int(own[column]), [])
+                    for start in range(0, len(order), 4 * k):
+                        some = order[start : start + 4 * k]
+                        if len(held) >= k and bound[some[0]] < held[k - 1][0]:
+                            break
+                        x = np.array(exact.take(pa.array(places[some])).to_pylist(), dtype=np.int64).reshape(len(some), dims)
+                        held += zip(_exact(x, vectors[column]).tolist(), ids[some].tolist())
+                        held.sort(key=lambda pair: (-pair[0], pair[1]))
+                        del held[k:]
         rows = [(query, vec, score) for query, held in found.items() for score, vec in held]
         for start in range(0, len(rows), 10_000):
             part = list(zip(*rows[start : start + 10_000]))
@@ -178,14 +184,16 @@ def top_k(table: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id
     spark = table.sparkSession
     file, edges = build(integer_vectors(table, vec_id, embedding, scale))
     asked = materialize(file.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    results: list[DataFrame] = []
+    path = shared_path(spark, "found")
 
     def search(block):
         queries = spark.sparkContext.broadcast(_by_length(block))
         least = {row[0]: row[1] for row in _certain(file, edges, queries, k).filter("least is not null").collect()}  # a number for each query of the block
         found = _read(file, edges, queries, spark.sparkContext.broadcast(least), k)
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        results.append(materialize(found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "found"))
+        ranked = found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        ranked.write.mode("append").parquet(path)
+        queries.unpersist()
 
     block: list[tuple[int, list[int]]] = []
     for row in asked.toLocalIterator():
@@ -193,6 +201,7 @@ def top_k(table: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id
         if len(block) == block_queries:
             search(block)
             block = []
-    if block or not results:
+    if block:
         search(block)
-    return reduce(DataFrame.union, results)
+    kind = "query_id long, rank int, vec_id long, score long"
+    return spark.read.schema(kind).parquet(path) if not asked.isEmpty() else spark.createDataFrame([], kind)
