@@ -2,15 +2,16 @@
 
 Writing: each page becomes a transaction of three records, a request, a response (or a revisit, if
 another page has the same payload) and a metadata record; the last two name the first's identifier in
-WARC-Concurrent-To. Records are made with DataFrame functions and written by Spark's text writer with
-the two line ends that close a record as its separator, so archives can be in any file system that Spark
-writes to. Of pages with equal payloads the one with the largest id is the response; which one that is
+WARC-Concurrent-To. Records are made with DataFrame functions and compressed each as a gzip member of its own, so that
+a file can be read from any record on. They are written by Spark's text writer, so archives can be in any file system that Spark
+writes to: a member's last byte, the highest one of its length, is zero below 16 MB, and that zero is the writer's separator; a longer record has several members.
+A file is bounded in bytes, a longest record's more, since its rows are. Of pages with equal payloads the one with the largest id is the response; which one that is
 comes from a table of digests that occur more than once, so that payloads are shuffled only if that table is large.
 
 Reading: each archive file is parsed by the records' lengths, never by what looks like an end. Records
 then meet by the transaction they belong to and become one nested row for each capture.
 
-A null payload is the empty payload. A null id or URL stays null. Repeated rows count as pages
+A null payload is the empty payload. A null id or URL stays null. Ids may be of any type that text can be cast to: numbers, strings. Repeated rows count as pages
 of their own; rows that share the largest id of a payload are all responses. An empty table makes empty archives and no captures. Other columns are ignored.
 """
 
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 
 from talkgauge.llm.common import materialize, shared_path
 
-#: Records in one archive file at most.
-FILE_RECORDS = 30_000
+#: Bytes of records that are written together, and such rows in one archive file at most: 32 MB.
+ROW_BYTES, FILE_ROWS = 256 << 10, 128
+#: Bytes of a record in one gzip member at most, so that its length's highest byte is zero.
+MEMBER = (1 << 24) - 1
 END = "\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -64,7 +67,7 @@ def repeated_payloads(pages: DataFrame) -> DataFrame:
     return digests.filter("n > 1").select("digest", F.col("last.page_id").alias("response"), F.col("last.n").alias("n_same"))
 
 
-def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html", min_revisit_bytes: int = 0, file_records: int = FILE_RECORDS) -> None:
+def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html", min_revisit_bytes: int = 0, row_bytes: int = ROW_BYTES) -> None:
     """Writes the pages' transactions as gzipped WARC files. Payloads below min_revisit_bytes are always responses."""
     rows = pages.select(
         F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"),
@@ -100,8 +103,38 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
         ),
         _record(F.lit("metadata"), metadata, [target, concurrent], F.lit("application/warc-fields"), fields),
     )
-    out = rows.select(F.explode(records).alias("value")).write.option("lineSep", END).option("compression", "gzip")
-    out.option("maxRecordsPerFile", file_records).text(path)
+    out = _members(rows.select(F.explode(records).alias("value")).select(F.concat("value", F.lit(END)).cast("binary").alias("value")), row_bytes)
+    out.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_ROWS).text(path)
+
+
+def gzip_members(record: bytes, most: int = MEMBER) -> bytes:
+    """The record as gzip members, of which all that is longer than a member has several."""
+    return b"".join(gzip.compress(record[i : i + most], 6, mtime=0) for i in range(0, max(1, len(record)), most))
+
+
+def _members(records: DataFrame, row_bytes: int) -> DataFrame:
+    """Rows of some records' members without their last zero, of row_bytes or one record; a longer row is followed by empty members, so that rows count bytes."""
+    empty = gzip_members(b"")[:-1]
+
+    def rows(batches):
+        held, size = [], 0
+
+        def out():
+            filler = [empty] * (-(-size // row_bytes) - 1)
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1], *filler], pa.binary())], names=["value"])
+
+        for batch in batches:
+            for record in batch.column(0):
+                members = gzip_members(record.as_py())
+                if held and size + len(members) > row_bytes:
+                    yield out()
+                    held, size = [], 0
+                held.append(members)
+                size += len(members)
+        if held:
+            yield out()
+
+    return records.mapInArrow(rows, "value binary")
 
 
 # -- reading -----------------------------------------------------------------------------------
@@ -163,7 +196,7 @@ def read_records(spark: SparkSession, path: str, keep_payload: bool = True) -> D
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("content").mapInArrow(records, RECORDS)
 
 
@@ -191,10 +224,11 @@ def archive_round_trip(pages: DataFrame, path: str | None = None, min_revisit_by
     write_archives(pages, path, min_revisit_bytes=min_revisit_bytes)
     captures = assemble(read_records(spark, path, keep_payload=False))
     revisit = F.col("capture.kind") == "revisit"
-    field = lambda name: F.col("metadata.fields")[name].cast("long")
+    field = lambda name, kind="long": F.col("metadata.fields")[name].cast(kind)
+    id_type = pages.schema["page_id"].dataType
     return captures.select(
-        field("page-id").alias("page_id"),
+        field("page-id", id_type).alias("page_id"),
         F.when(revisit, field("payload-length")).otherwise(F.col("capture.payload_bytes")).alias("payload_bytes"),
         F.when(revisit, F.col("capture.stated_digest")).otherwise(F.col("capture.payload_digest")).alias("payload_digest"),
-        F.col("capture.kind").alias("record_type"), field("refers-to-page-id").alias("refers_to"), F.col("capture.target_uri").alias("target_uri"),
+        F.col("capture.kind").alias("record_type"), field("refers-to-page-id", id_type).alias("refers_to"), F.col("capture.target_uri").alias("target_uri"),
     )

@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeats, empty tables, clashing columns; and each method against brute force."""
 
+import gzip
 import hashlib
 import random
 import zlib
@@ -180,6 +181,14 @@ def test_url_filters(spark, block):
     assert got == {i: judged(u, rules) for i, u in enumerate([*URLS, *URLS])}
 
 
+def test_url_filter_blocks_of_bytes_and_long_urls(spark):
+    rules = [*URL_RULES, *((f"h{i}.net", f"/{'x' * i}/", "block") for i in range(40)), ("h1.net", "/x/", "allow")]
+    urls = [*URLS, *(f"http://a.h{i}.net/{'x' * i}/y" for i in range(40)), "http://a.example.net/en/" + "z" * 2_000_000, "http://" + "a." * 5_000 + "net/q"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in filter_urls(pages, spark.createDataFrame(rules, "host string, path string, action string"), block_bytes=300).collect()}
+    assert got == {i: judged(u, [r for r in rules if r != ("h1.net", "/x/", "allow")]) for i, u in enumerate(urls)}
+
+
 def test_url_filter_edges(spark):
     pages = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
     none = spark.createDataFrame([], "host string, path string, action string")
@@ -259,6 +268,7 @@ def brute_top(rows, k, every):
 @pytest.mark.parametrize("block, cells", [(2_000, 64), (2, 3)])
 def test_vector_search(spark, block, cells, monkeypatch):
     monkeypatch.setattr(va.build, "__defaults__", (cells,))
+    monkeypatch.setattr(va._portions, "__defaults__", (3,))
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(120)]
     rows += [(i, [0.5] * 6) for i in range(120, 160)] + [(200, None), (201, [1.0, None] + [0.0] * 4), (210, [float("nan")] * 6), (220, [float("inf")] * 6), (None, [1.0] * 6), (230, [1.0, 2.0]), (240, [3.0, 1.0]), (241, []), (250, [])]
@@ -268,6 +278,13 @@ def test_vector_search(spark, block, cells, monkeypatch):
     assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == brute_top(rows, 5, 10)
 
 
+def test_long_vectors(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=5_000).tolist()) for i in range(30)]
+    got = va.top_k(spark.createDataFrame([(i, v, 1, "q") for i, v in rows], "vec_id long, embedding array<double>, score int, query_id string"), F.col("vec_id") % 10 == 0, k=3)
+    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == brute_top(rows, 3, 10)
+
+
 def test_vector_search_edges(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert va.top_k(empty, F.col("vec_id") % 10 == 0).count() == 0
@@ -299,6 +316,32 @@ def test_archives(spark, tmp_path):
     assert warc.archive_round_trip(pages.limit(0), str(tmp_path / "c")).count() == 0
 
 
+def test_archives_are_members_in_bounded_files(spark, tmp_path, monkeypatch):
+    """Each record is a gzip member of its own; long records make more members; files hold so many rows' bytes."""
+    rng = random.Random(2)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    rows = [(f"p{i}", "http://a/", noise(rng.randint(0, 3_000))) for i in range(200)] + [("long", "http://b/", noise(90_000))]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string").coalesce(1)
+    monkeypatch.setattr(warc, "FILE_ROWS", 8)
+    warc.write_archives(pages, str(tmp_path / "a"), row_bytes=10_000)
+    files = sorted((tmp_path / "a").glob("part-*"))
+    assert len(files) > 3 and sum(f.stat().st_size > 80_000 for f in files) <= 1 and max(f.stat().st_size for f in files) < 80_000 + 90_000
+    members = 0
+    for file in files:
+        data = file.read_bytes()
+        while data:
+            reader = zlib.decompressobj(31)
+            record = reader.decompress(data)
+            members += 1
+            assert reader.eof and (not record or record.startswith(b"WARC/1.1"))
+            data = reader.unused_data
+    assert members >= 3 * len(rows)
+    got = {r.page_id: r.payload_digest for r in warc.archive_round_trip(pages, str(tmp_path / "b")).collect()}
+    assert got == {i: warc.base32_sha1(x.encode()) for i, _, x in rows}
+    whole = noise(1_000).encode()
+    assert gzip.decompress(warc.gzip_members(whole, 64)) == whole and warc.gzip_members(whole, 64)[-1] == 0
+
+
 def test_digest_expression(spark):
     texts = ["", "abc", "é"]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "x string").select(warc.payload_digest(F.col("x"))).collect()]
