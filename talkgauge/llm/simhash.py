@@ -38,8 +38,9 @@ BITS = 64
 SEED = 42
 #: Nodes under one node of the hierarchy.
 FANOUT = 4
-#: Fingerprints of one run, about; more where there would be over MAX_RUNS runs, whose patterns (24 bytes each) go to all tasks.
-RUN_ROWS, MAX_RUNS = 8_192, 16_384
+#: Runs at least, so that tasks have enough to share; fingerprints of one run at most (8 MB), about, which sets the number of runs of large tables; and runs
+#: at most, whose patterns (24 bytes each) go to all tasks. A fingerprint visits some dozen of 64 runs and some fifty of 16,384.
+MIN_RUNS, RUN_ROWS, MAX_RUNS = 64, 1 << 20, 16_384
 #: Visitors that go past one copy of a run: so many, or so many times the run's own rows if that is more.
 VISITORS, VISITORS_PER_ROW = 65_536, 16
 #: Pairs of query and node that are open at a time.
@@ -200,7 +201,8 @@ class Run:
 
 def runs(prints: DataFrame, run_rows: int = RUN_ROWS) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """The ranks at which runs begin, and of each run its pattern, mask and number of fingerprints; a bounded number of rows on the driver."""
-    n = min(MAX_RUNS, max(1, math.ceil(prints.count() / run_rows)))
+    rows = prints.count()
+    n = min(MAX_RUNS, max(1, min(MIN_RUNS, rows // MIN_RUNS), math.ceil(rows / run_rows)))
     starts = np.zeros(0, np.int64)
     if n > 1:
         cuts = prints.agg(F.percentile_approx(rank_column("fp"), [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("cuts")).first()[0]

@@ -95,7 +95,7 @@ def test_gray_rank():
     assert sh.gray_rank(codes).tolist() == list(range(300))
 
 
-@pytest.mark.parametrize("run_rows, visitors", [(8_192, 65_536), (50, 40), (7, 5)])
+@pytest.mark.parametrize("run_rows, visitors", [(1 << 20, 65_536), (50, 40), (7, 5)])
 def test_links_of_clusters(spark, run_rows, visitors, monkeypatch):
     """No setting of the search changes the components; with small runs fingerprints visit many runs and copies of them."""
     monkeypatch.setattr(sh, "VISITORS_PER_ROW", 1)
@@ -103,7 +103,7 @@ def test_links_of_clusters(spark, run_rows, visitors, monkeypatch):
     ids = prints.view(np.int64).tolist()
     table = spark.createDataFrame([(x,) for x in ids], "fp long")
     starts, nodes = sh.runs(table, run_rows)
-    assert (len(starts) > 10) == (run_rows < 100) and (sh.copies(nodes, 2, visitors, 1).max() > 1) == (run_rows < 100)
+    assert (len(starts) > 15) == (run_rows < 100) and (sh.copies(nodes, 2, visitors, 1).max() > 1) == (run_rows < 100)
     roots = {r.node: r.root for r in components_of(sh.links(table, 2, run_rows, visitors)).collect()}
     found = components(prints, 2)
     least = {}
@@ -183,7 +183,7 @@ def test_similar_documents_miss_no_pair(spark):
     assert 20 < sum(alike.values()) < 100 and all(got[i + 1] == i for i in alike if alike[i])
 
 
-@pytest.mark.parametrize("options", [{}, {"rounds": (1,)}, {"key_rows": 2}, {"key_rows": 3, "depth": 1, "run_rows": 20}, {"key_rows": 10**6}])
+@pytest.mark.parametrize("options", [{}, {"rounds": ()}, {"rounds": (), "cross": 2, "block": 5}, {"cross": 1, "depth": 1, "block": 3, "run_rows": 20}])
 def test_similar_documents_equal_brute_force(spark, options):
     """Links at .8 and none below, in groups too whose texts are alike in part, whatever decides the cost."""
     rng = random.Random(8)
@@ -220,7 +220,7 @@ def test_frequent_passages_in_different_texts(spark):
                 low, high = sorted((root[a], root[b]))
                 root = [low if x == high else x for x in root]
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    for options in ({}, {"key_rows": 16}, {"key_rows": 16, "depth": 1}):
+    for options in ({}, {"cross": 8, "rounds": (2,)}, {"cross": 8, "depth": 1, "block": 50}):
         got = {r.doc_id: r.component_id for r in similar_documents(table, **options).collect()}
         assert [got[i] for i, _ in rows] == [rows[x][0] for x in root]
     assert si.prefix_length(10, 0.8) == 3 and si.prefix_length(0, 0.8) == 0
