@@ -7,12 +7,12 @@ Candidates: put in any common order, two sets of that similarity share one at le
 one), so these are a set's keys and no such pair is missed. How many keys a pair shares, and the sizes, rule out most others. The order
 puts shingles that a bounded sample has often last; it decides the cost and not the result.
 
-Frequent keys: of the first l - 1 shingles more, similar sets share l, so the sets of a key that more than KEY_ROWS have meet in pairs of that
-key and another one, then in threes, and so on up to DEPTH; what is frequent even then is compared in blocks of KEY_ROWS sets against blocks. So a task holds a
-bounded number of sets of a key, and nothing is dropped.
+Copies: sets that links have joined already aren't compared. Some sets of each key are compared with all its others first (ROUNDS), so that a
+group of near copies is one component before all its pairs would be made. Then keys whose sets are one component are done.
 
-Copies: sets that links have joined already aren't compared. Each key's first sets are compared with all its others first (ROUNDS), so that a
-group of near copies is one component before all its pairs would be made.
+Frequent keys: of the first l - 1 shingles more, similar sets share l, so the sets of a key that would make more than CROSS pairs for each set meet in pairs of that
+key and another one instead, then in threes, and so on up to DEPTH. The sets of a key are compared in blocks of BLOCK sets against blocks, so a task holds a
+bounded number of them, and nothing is dropped.
 """
 
 from __future__ import annotations
@@ -33,10 +33,12 @@ from talkgauge.llm.simhash import RUN_ROWS, SEED, fingerprint, links
 
 #: Texts whose shingles are counted for the order of keys, the least count of a common shingle, and common shingles at most.
 SAMPLED, COMMON, COMMONS = 5_000, 3, 50_000
-#: Sets of one key that a task compares; a key with more is refined, by up to so many shingles in all.
-KEY_ROWS, DEPTH = 256, 4
-#: First sets of a key that are compared with all its others, round by round, before all that are in different components by then.
-ROUNDS = (4, 64)
+#: Sets of a key that a task compares with as many; a key with more is dealt into blocks.
+BLOCK = 4_096
+#: Pairs in different components for each set of a key, beyond which the key is refined, by up to so many shingles in all.
+CROSS, DEPTH = 64, 4
+#: Sets of a key that are compared with all its others, round by round, before all that are in different components by then.
+ROUNDS = (1, 16)
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -85,10 +87,10 @@ def _common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
 # -- candidates --------------------------------------------------------------------------------
 
 
-def _in_keys(rows: DataFrame, last: int | None, least: float) -> DataFrame:
-    """``a, b, n_a, n_b, h_a, h_b``: a key's first sets (all without last) with its later ones, where components differ and sizes allow the similarity.
+def _in_keys(rows: DataFrame, least: float) -> DataFrame:
+    """``a, b, n_a, n_b, h_a, h_b``: pairs of a key's sets, where components differ and sizes allow the similarity.
 
-    ``rows``: key, sid, n, root, h, side; of keys that KEY_ROWS sets have at most, or twice as many. Sets of a side 0 or 1 are compared across only.
+    ``rows``: key, sid, n, root, h, side; of keys that a bounded number of sets have. Sets of a side 0 or 1 are compared across only.
     """
     names = ["a", "b", "n_a", "n_b", "h_a", "h_b"]
 
@@ -99,7 +101,7 @@ def _in_keys(rows: DataFrame, last: int | None, least: float) -> DataFrame:
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         place = np.arange(len(key)) - np.repeat(starts, np.diff(np.append(starts, len(key))))
         at, turn = np.flatnonzero(place > 0), 0
-        while len(at) and (last is None or turn < last):
+        while len(at):
             other = at - place[at] + turn
             keep = (root[at] != root[other]) & (np.minimum(n[at], n[other]) >= least * np.maximum(n[at], n[other]) - 1e-9) & ((side[at] < 0) | (side[at] != side[other]))
             if keep.any():
@@ -128,22 +130,22 @@ def _in_keys(rows: DataFrame, last: int | None, least: float) -> DataFrame:
     return rows.select("key", "sid", "n", "root", "h", "side").repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long, n_a int, n_b int, h_a int, h_b int")
 
 
-def _counted(pairs: DataFrame, least: float) -> DataFrame:
-    """``a, b``: the pairs that share keys enough.
+def _needed(least: float):
+    """Keys that sets of n_a and n_b shingles share at least, if they have the similarity.
 
     What two sets share lies in both prefixes, or behind the one that ends first, where at most ceil(least * n) - 1 are left; so less shared keys than the
-    rest of the overlap that the similarity takes rule a pair out. Frequent keys aren't counted, of which a pair shares h at most.
+    rest of the overlap that the similarity takes rule a pair out.
     """
-    shared = pairs.groupBy("a", "b", "n_a", "n_b", "h_a", "h_b").agg(F.count("*").alias("shared"))
-    return shared.filter(F.col("shared") >= _needed(least) - F.least("h_a", "h_b")).select("a", "b")
-
-
-def _needed(least: float):
-    """Keys that sets of n_a and n_b shingles share at least, if they have the similarity."""
     both = F.ceil(F.lit(least / (1 + least)) * (F.col("n_a") + F.col("n_b")) - 1e-9)
     return both - F.ceil(least * F.greatest("n_a", "n_b") - 1e-9) + 1
 
 
+def _counted(pairs: DataFrame, least: float) -> DataFrame:
+    """``a, b``: the pairs that share keys enough. Frequent keys aren't counted, of which a pair shares h at most."""
+    shared = pairs.groupBy("a", "b", "n_a", "n_b", "h_a", "h_b").agg(F.count("*").alias("shared"))
+    return shared.filter(F.col("shared") >= _needed(least) - F.least("h_a", "h_b")).select("a", "b")
+
+
 def _screened(pairs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
     """``a, b``: the same for pairs ``a, b`` of frequent keys, from the keys themselves."""
     own = distinct.select("sid", "n", F.slice("keys", F.lit(1), F.col("p")).alias("keys"))
@@ -152,10 +154,23 @@ def _screened(pairs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
 
 
 def _with_first(rows: DataFrame, n: int, least: float) -> DataFrame:
-    """``a, b``: the sets of frequent keys with up to n sets of their key. Those are found by an aggregate, so no task has a key's rows."""
-    first = rows.groupBy("key", F.pmod(F.xxhash64("sid"), F.lit(n))).agg(F.min(F.struct("sid", "n", "root")).alias("f")).select("key", "f")
+    """``a, b``: sets with up to n sets of their keys, if they share keys enough in that way; pairs that share too few so wait for the last round.
+
+    ``rows``: key, sid, n, root. A key's n sets are found by an aggregate, so no task has all rows of a key.
+    """
+    first = rows.groupBy("key", F.pmod(F.xxhash64("sid"), F.lit(n)).alias("_part")).agg(F.min(F.struct("sid", "n", "root")).alias("f")).select("key", "f")
     near = (F.col("root") != F.col("f.root")) & (F.least("n", "f.n") >= least * F.greatest("n", "f.n") - 1e-9)
-    return rows.join(first, "key").filter(near).select(F.least("sid", "f.sid").alias("a"), F.greatest("sid", "f.sid").alias("b")).distinct()
+    lower, one, two = F.col("sid") < F.col("f.sid"), F.struct("sid", "n"), F.struct("f.sid", "f.n")
+    pairs = rows.join(first, "key").filter(near).select(F.when(lower, one).otherwise(two).alias("x"), F.when(lower, two).otherwise(one).alias("y"))
+    pairs = pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
+    # Two sets may be each other's first in a key, which counts once too often; the sets are judged all the same.
+    return pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= _needed(least)).select("a", "b")
+
+
+def _crossing(rows: DataFrame) -> DataFrame:
+    """``key, sets, cross``: keys whose sets are in several components, and how many pairs of them are."""
+    each = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
+    return each.groupBy("key").agg(F.sum("c").alias("sets"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.count("*").alias("roots")).filter("roots > 1").select("key", "sets", ((F.col("sets") * F.col("sets") - F.col("squares")) / 2).alias("cross"))
 
 
 def _refined(rows: DataFrame, distinct: DataFrame, level: int) -> DataFrame:
@@ -165,13 +180,12 @@ def _refined(rows: DataFrame, distinct: DataFrame, level: int) -> DataFrame:
     return each.select(F.xxhash64("key", "k").alias("key"), "sid", "n", F.array_append("used", F.col("k")).alias("used"))
 
 
-def _blocks(rows: DataFrame, key_rows: int) -> DataFrame:
-    """The rows ``key, sid, n, sets`` of frequent keys, dealt into blocks, each block with itself and with every other one of its key."""
-    count = F.ceil(F.col("sets") / key_rows).cast("int")
-    rows = rows.withColumn("blocks", count).withColumn("own", F.pmod(F.xxhash64("sid"), count).cast("int"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """The rows ``key, sid, n, h, sets`` dealt into blocks, each block with itself and with every other one of its key; most keys are one block."""
+    count = F.ceil(F.col("sets") / size).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("sid"), count).cast("int")).select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
     side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    return rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "sid", "n", side.alias("side"))
+    return rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "sid", "n", "h", side.alias("side"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, distinct: DataFrame, least: float, shingle: int) -> DataFrame:
@@ -209,12 +223,12 @@ def _name(hashes: np.ndarray) -> int:
 
 
 def similar_documents(
-    docs: DataFrame, min_similarity: float = 0.8, shingle: int = 5, max_diff: int = 2, doc_id: str = "doc_id", text: str = "text", key_rows: int = KEY_ROWS, depth: int = DEPTH, rounds: tuple[int, ...] = ROUNDS, run_rows: int = RUN_ROWS
+    docs: DataFrame, min_similarity: float = 0.8, shingle: int = 5, max_diff: int = 2, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, cross: int = CROSS, depth: int = DEPTH, rounds: tuple[int, ...] = ROUNDS, run_rows: int = RUN_ROWS
 ) -> DataFrame:
     """``doc_id, component_id``: as near_duplicates, with links between all texts whose sets of ``shingle`` words have that Jaccard similarity.
 
-    Fingerprints are those of three-word shingles. Nulls, blanks and repeated rows are treated as in near_duplicates. ``key_rows``, ``depth``, ``rounds`` and
-    ``run_rows`` decide the cost and not the result.
+    Fingerprints are those of three-word shingles. Nulls, blanks and repeated rows are treated as in near_duplicates. ``block``, ``cross``, ``depth``, ``rounds``
+    and ``run_rows`` decide the cost and not the result.
     """
     spark = docs.sparkSession
     # Different sets of that similarity have so many shingles in common at least.
@@ -262,37 +276,34 @@ def similar_documents(
         return rows.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
     each = distinct.select(F.explode(F.slice("keys", F.lit(1), F.col("p"))).alias("key"), "sid", "n")
-    sizes = each.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1")
-    keys = materialize(each.join(sizes, "key"), "keys")
-    usual, frequent = keys.filter(F.col("sets") <= key_rows), materialize(keys.filter(F.col("sets") > key_rows), "frequent")
-    hot = frequent.groupBy("sid").agg(F.count("*").cast("int").alias("h"))
-    usual = materialize(usual.join(hot, "sid", "left").select("key", "sid", "n", F.coalesce("h", F.lit(0)).alias("h"), F.lit(-1).alias("side")), "usual")
-    any_frequent = not frequent.isEmpty()
-    remove(spark, keys)
+    # Half a key is enough to leave out most that only one set has.
+    half = F.col("key").bitwiseAND((1 << 31) - 1).cast("int")
+    several = each.groupBy(half.alias("half")).agg(F.count("*").alias("sets")).filter("sets > 1").select("half")
+    keys = materialize(each.withColumn("half", half).join(several, "half", "left_semi").select("key", "sid", "n"), "keys")
     for first in rounds:
-        pairs = _counted(_in_keys(rooted(usual), first, min_similarity), min_similarity)
-        if any_frequent:
-            pairs = pairs.union(_screened(_with_first(rooted(frequent), first, min_similarity), distinct, min_similarity)).distinct()
-        linked(pairs)
-    pairs, wide = _counted(_in_keys(rooted(usual), None, min_similarity), min_similarity), []
-    if any_frequent:
-        rows, plain = frequent.select("key", "sid", "n", F.array("key").alias("used")), [F.lit(0).alias("h"), F.lit(-1).alias("side")]
-        for level in range(2, depth + 2):
-            # Only keys whose sets are in several components are looked at.
-            found = rooted(rows).groupBy("key").agg(F.count("*").alias("sets"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", "sets")
-            rows = materialize(rows.join(found, "key"), "refined")
-            few, many = rows.filter(F.col("sets") <= key_rows).select("key", "sid", "n", *plain), rows.filter(F.col("sets") > key_rows)
-            wide.append(_in_keys(rooted(few), None, min_similarity))
-            if many.isEmpty():
-                break
-            if level > depth:
-                wide.append(_in_keys(rooted(_blocks(many, key_rows).withColumn("h", F.lit(0))), None, min_similarity))
-            else:
-                rows = _refined(many, distinct, level)
+        linked(_with_first(rooted(keys), first, min_similarity))
+
+    def dealt(rows: DataFrame, kept: list[str]) -> tuple[DataFrame, DataFrame]:
+        """The rows of keys with open pairs as a table: those compared as they are, and those of frequent keys."""
+        rows = materialize(rows.join(_crossing(rooted(rows)), "key").select(*kept, "sets", (F.col("cross") > cross * F.col("sets")).alias("frequent")), "open")
+        return rows.filter(~F.col("frequent")), rows.filter("frequent")
+
+    usual, frequent = dealt(keys.select("key", "sid", "n", F.array("key").alias("used")), ["key", "sid", "n", "used"])
+    hot = frequent.groupBy("sid").agg(F.count("*").cast("int").alias("h"))
+    few = usual.join(hot, "sid", "left").withColumn("h", F.coalesce("h", F.lit(0)))
+    pairs, level, wide = _counted(_in_keys(rooted(_blocks(few, block)), min_similarity), min_similarity), 2, []
+    while not frequent.isEmpty():
+        if level > depth:
+            wide.append(_in_keys(rooted(_blocks(frequent.withColumn("h", F.lit(0)), block)), min_similarity))
+            break
+        more, frequent = dealt(_refined(frequent, distinct, level), ["key", "sid", "n", "used"])
+        wide.append(_in_keys(rooted(_blocks(more.withColumn("h", F.lit(0)), block)), min_similarity))
+        level += 1
+    if wide:
         pairs = pairs.union(_screened(reduce(DataFrame.union, wide).select("a", "b").distinct(), distinct, min_similarity)).distinct()
     linked(pairs)
     joined = distinct.join(roots, distinct["sid"] == roots["node"], "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
     named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = materialize(joined.select("sid", "root").join(named, "root").select("sid", "component_id"), "components")
-    remove(spark, distinct, frequent, usual, roots)
+    remove(spark, distinct, keys, usual, roots)
     return prints.select("doc_id", "sid").join(ids, "sid").select("doc_id", "component_id")
