@@ -226,7 +226,8 @@ def q_best_variation(spark, sf_dir):
     pairs = _pairs(spark, sf_dir, never)
     rows = m.features(_sheet_groups(spark, sf_dir), "text", "g", never)
     texts = m.features(_points(spark, sf_dir).select("sheet", "point", F.posexplode("variations").alias("pos", "script")), "script", "s", never)
-    scored = m.join_sheet(rows, texts).select("call_id", "group_id", "point", "pos", "script", m.metrics(never)["score"].alias("score")).filter("score > 0")
+    side = lambda x: F.struct(*(F.col(f"{x}_{name}").alias(name) for name in ("tokens", "words", "keys")))
+    scored = m.join_sheet(rows, texts).select("call_id", "group_id", "point", "pos", "script", m.metrics(never, side("s"), side("g"))["score"].alias("score")).filter("score > 0")
     best = scored.groupBy("call_id", "group_id", "point").agg(F.max_by("script", F.struct("score", -F.col("pos"))).alias("variation"), F.max("score").alias("score"))
     return best.join(pairs.select("call_id", "group_id", "point"), ["call_id", "group_id", "point"], "left_semi")
 

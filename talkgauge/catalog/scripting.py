@@ -24,11 +24,16 @@ def _merge(x: str) -> str:
     return f"list_transform([{state}], lambda z: CASE WHEN z[1] = '' THEN z[2:] WHEN len(z) > 1 THEN list_concat(z[2:-2], [z[-1] || ' ' || z[1]]) ELSE [z[1]] END)[1]"
 
 
-SQL_VARIATIONS = (
-    f"(SELECT script_row, point, standard_script, CASE WHEN length(whole) = 0 THEN [] WHEN len(found) > 0 THEN found ELSE [whole] END AS variations FROM "
-    f"(SELECT *, list_filter(cut, lambda v, i: list_position(cut, v) = i) AS found FROM (SELECT *, flatten(list_transform(merged, lambda m: CASE WHEN length(m) > 50 THEN {_merge(_pieces('m', ','))} ELSE [m] END)) AS cut "
-    f"FROM (SELECT *, {_merge(_pieces('whole', s.SPLIT))} AS merged FROM (SELECT *, {sql_fold_en(sql_strip('standard_script'))} AS whole FROM {SQL_SCRIPTS})))))"
-)
+def sql_variations(source: str, whole: str) -> str:
+    """The source's rows with ``variations``, from its column standard_script cleaned as ``whole`` says."""
+    return (
+        f"(SELECT * EXCLUDE (whole, merged, cut, found), CASE WHEN length(whole) = 0 THEN [] WHEN len(found) > 0 THEN found ELSE [whole] END AS variations FROM "
+        f"(SELECT *, list_filter(cut, lambda v, i: list_position(cut, v) = i) AS found FROM (SELECT *, flatten(list_transform(merged, lambda m: CASE WHEN length(m) > 50 THEN {_merge(_pieces('m', ','))} ELSE [m] END)) AS cut "
+        f"FROM (SELECT *, {_merge(_pieces('whole', s.SPLIT))} AS merged FROM (SELECT *, {whole} AS whole FROM {source})))))"
+    )
+
+
+SQL_VARIATIONS = sql_variations(SQL_SCRIPTS, sql_fold_en(sql_strip("standard_script")))
 
 
 @query(f"SELECT script_row, variations FROM {SQL_VARIATIONS}")

@@ -62,6 +62,17 @@ def rouge_l(a: Column, b: Column) -> Column:
     return f_measure(lcs(a, b), a, b)
 
 
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def rouge_l_each(texts: pa.Array, other: pa.Array) -> pa.Array:
+    """ROUGE-L of each text of an array with one other text; an empty array costs nothing."""
+
+    def f(a: str, b: str) -> float:
+        common = lcs_length(a, b) if a and b else 0
+        return 2.0 * common / (len(a) + len(b)) if common else 0.0
+
+    return pa.array([None if x is None or y is None else [f(a, y) for a in x] for x, y in zip(texts.to_pylist(), other.to_pylist())], pa.list_(pa.float64()))
+
+
 def rouge_l_short(a: Column, b: Column) -> Column:
     return f_measure(lcs_short(a, b), a, b)
 
@@ -76,6 +87,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norms == 0), 0.0).otherwise(F.coalesce(dot(a, b) / norms, F.lit(0.0)))
 
 
+def unit(a: Column) -> Column:
+    """The vector with a length of one; a zero vector stays so, and a missing one missing."""
+    norm = F.sqrt(dot(a, a))
+    return F.when(norm == 0, a.cast("array<double>")).otherwise(F.transform(a, lambda x: x.cast("double") / norm))
+
+
+def cosine_of_units(a: Column, b: Column) -> Column:
+    """The cosine of vectors of length one; 0 where a vector is missing or lengths differ."""
+    return F.when(F.size(a) != F.size(b), 0.0).otherwise(F.coalesce(F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Common over all tokens; 0 if there are none."""
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))

@@ -123,13 +123,16 @@ def segmenter(language: str) -> Callable[[str], list[str]]:
 
 def segment(x: Column, language: str) -> Column:
     """Raw tokens of a text: English by pattern, Chinese by a segmenter over Arrow batches."""
-    if language == "ENG":
-        return english_tokens(x)
+    return english_tokens(x) if language == "ENG" else segment_with(x, None, language)
+
+
+def segment_with(x: Column, split: Callable[[str], list[str]] | None, language: str = "CAN") -> Column:
+    """Tokens by a function, or by the language's segmenter."""
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def cut(texts: pa.Array) -> pa.Array:
-        split = segmenter(language)
-        return pa.array([None if s is None else list(split(s)) for s in texts.to_pylist()], pa.list_(pa.string()))
+        words = split or segmenter(language)
+        return pa.array([None if s is None else list(words(s)) for s in texts.to_pylist()], pa.list_(pa.string()))
 
     return cut(x)
 

@@ -1,8 +1,9 @@
 """Every dialogue group against every point of its sheet, and the best of them.
 
-Scripts are the small side: they are broadcast if a count shows that they are, and else spread over
-salted copies so that no sheet's calls meet in one task. The holistic comparison comes first; only pairs that it
-leaves open are compared with single variations.
+A point is one row with all its texts, the holistic one and the variations, as an array, so a pair of group and point is one row too and is
+scored where the join makes it: nothing is shuffled before the best group of a call's point is chosen. Scripts are the small side of
+that join: they are broadcast if a count shows that they are, and else spread over salted copies so that no sheet's calls meet in one task. The
+holistic text is scored first; in MAN and ENG variations are scored for those pairs only that it leaves open.
 """
 
 from __future__ import annotations
@@ -15,21 +16,29 @@ from talkgauge.functions import patterns as p
 from talkgauge.functions import similarity as s
 from talkgauge.functions import text as t
 from talkgauge.functions import tokens as k
-from talkgauge.operators.embedding import Embedder, embed
+from talkgauge.operators.embedding import Embedder, embed, with_vectors
 
 #: Script texts (points and variations) that are broadcast at most.
 BROADCAST_TEXTS = 50_000
 SALTS = 32
+METRICS = ("semantic", "expanded_overlap", "rouge_l", "keyword_coverage")
 
 
-def features(df: DataFrame, text: str, prefix: str, settings: Settings, embedder: Embedder | None = None) -> DataFrame:
-    """Adds what comparisons use: clean text, expanded tokens, business tokens and, where the score has them, a vector."""
+def features(df: DataFrame, text: str, prefix: str, settings: Settings, embedder: Embedder | None = None, embeddings: DataFrame | None = None) -> DataFrame:
+    """Adds what comparisons use: clean text, expanded tokens, business tokens, important keywords and, where the score has them, a vector of length one.
+
+    With ``embeddings`` (clean_text, embedding) vectors are looked up there first, and each distinct text that has none is encoded once.
+    """
     language = settings.language
     df = df.withColumn(f"{prefix}_clean", t.clean(F.col(text), language))
     df = df.withColumn("_raw", k.segment(F.col(f"{prefix}_clean"), language))
     df = df.withColumn(f"{prefix}_tokens", k.expanded_tokens(F.col("_raw"), language)).withColumn(f"{prefix}_words", k.business_tokens(F.col("_raw"), language)).drop("_raw")
     df = df.withColumn(f"{prefix}_keys", F.array_intersect(f"{prefix}_words", k.words_array(settings.keywords)))
-    return df.withColumn(f"{prefix}_vector", embed(F.col(f"{prefix}_clean"), embedder)) if embedder else df
+    if embedder is None:
+        return df
+    vector = f"{prefix}_vector"
+    df = df.withColumn(vector, embed(F.col(f"{prefix}_clean"), embedder)) if embeddings is None else with_vectors(df, f"{prefix}_clean", embeddings, embedder, vector)
+    return df.withColumn(vector, s.unit(F.col(vector)))
 
 
 def join_sheet(groups: DataFrame, scripts: DataFrame, n_texts: int | None = None, most: int = BROADCAST_TEXTS) -> DataFrame:
@@ -42,63 +51,79 @@ def join_sheet(groups: DataFrame, scripts: DataFrame, n_texts: int | None = None
     return salted.join(copies, ["sheet", "_salt"]).drop("_salt")
 
 
-def metrics(settings: Settings, script: str = "s", group: str = "g", cosine: Column | None = None) -> Column:
-    """The metrics of a pair and their weighted score, as one struct.
+def metrics(settings: Settings, script: Column, group: Column, cosine: Column | None = None, rouge: Column | None = None) -> Column:
+    """The metrics of a pair and their weighted score, as one struct; ``script`` and ``group`` have tokens, words and keys.
 
-    ``cosine`` is the semantic or TF-IDF cosine; without one its part of the score is 0.
+    ``cosine`` is the semantic or TF-IDF cosine and ``rouge`` the sequence metric; without one its part of the score is 0.
     """
-    language = settings.language
-    col = lambda side, name: F.col(f"{side}_{name}")
-    a, b = col(script, "tokens"), col(group, "tokens")  # without repeats, so sizes of sets are sizes of arrays
+    language, zero = settings.language, F.lit(0.0)
+    a, b = script["tokens"], group["tokens"]  # without repeats, so sizes of sets are sizes of arrays
     common = F.size(F.array_intersect(a, b))
     whole = F.greatest(F.size(a), F.size(b)) if language == "CAN" else F.size(a) + F.size(b) - common
-    overlap = F.coalesce(F.try_divide(common, whole), F.lit(0.0))
-    rouge = s.rouge_l(col(script, "clean"), col(group, "clean")) if settings.use_rouge else F.lit(0.0)
-    keywords = F.coalesce(F.try_divide(F.size(F.array_intersect(col(script, "keys"), col(group, "words"))), F.size(col(script, "keys"))), F.lit(0.0))
-    score = s.weighted(language, F.lit(0.0) if cosine is None else cosine, overlap, rouge, keywords)
-    return F.struct((F.lit(0.0) if cosine is None else cosine).alias("semantic"), overlap.alias("expanded_overlap"), rouge.alias("rouge_l"), keywords.alias("keyword_coverage"), score.alias("score"))
+    overlap = F.coalesce(F.try_divide(common, whole), zero)
+    keywords = F.coalesce(F.try_divide(F.size(F.array_intersect(script["keys"], group["words"])), F.size(script["keys"])), zero)
+    cosine, rouge = zero if cosine is None else cosine, zero if rouge is None else rouge
+    score = s.weighted(language, cosine, overlap, rouge, keywords)
+    return F.struct(score.alias("score"), cosine.alias("semantic"), overlap.alias("expanded_overlap"), rouge.alias("rouge_l"), keywords.alias("keyword_coverage"))
 
 
-def pairwise(groups: DataFrame, points: DataFrame, settings: Settings, embedder: Embedder | None = None, cosines: DataFrame | None = None) -> DataFrame:
+def point_rows(points: DataFrame, settings: Settings, embedder: Embedder | None = None, embeddings: DataFrame | None = None) -> DataFrame:
+    """One row for each point: ``sheet, point, point_order, all_variations_count, dynamic_boost, texts``, the holistic text (pos -1) and the variations with their features."""
+    all_texts = F.concat(F.array("holistic"), "variations")
+    rows = points.select("sheet", "point", "point_order", F.size("variations").cast("long").alias("all_variations_count"), p.dynamic_boost(F.col("point"), F.array_join("scripts", " ")).alias("dynamic_boost"), F.posexplode(all_texts).alias("pos", "script"))
+    rows = features(rows.withColumn("pos", F.col("pos") - 1), "script", "s", settings, embedder, embeddings)
+    names = ["clean", "tokens", "words", "keys", *(["vector"] if embedder else [])]
+    item = F.struct("pos", "script", *(F.col(f"s_{name}").alias(name) for name in names))
+    return rows.groupBy("sheet", "point", "point_order", "all_variations_count", "dynamic_boost").agg(F.array_sort(F.collect_list(item)).alias("texts"))
+
+
+def pairwise(groups: DataFrame, points: DataFrame, settings: Settings, embedder: Embedder | None = None, cosines: DataFrame | None = None, embeddings: DataFrame | None = None) -> DataFrame:
     """One row for each group and point of its sheet: scores, match type and best variation.
 
     ``groups``: call_id, group_id, sheet, speaker, text; ``points``: sheet, point, point_order, scripts, variations, holistic.
     MAN and ENG take the holistic match if its boosted score reaches the threshold, and look at variations only if it doesn't;
     CAN looks at both and boosts the winner. ``cosines`` (call_id, group_id, point, pos, cosine), CAN's TF-IDF, take the place of vectors. The holistic match wins only if it is strictly better; of equal variations the first wins.
     """
-    cosine = s.cosine(F.col("s_vector"), F.col("g_vector")) if embedder else None
-    left = features(groups.select("call_id", "group_id", "sheet", "speaker", "text"), "text", "g", settings, embedder)
+    left = features(groups.select("call_id", "group_id", "sheet", "speaker", "text"), "text", "g", settings, embedder, embeddings)
     left = left.withColumn("g_date", p.has_date(F.col("text"), settings.language)).withColumn("g_number", p.has_number(F.col("text"), settings.language))
-    texts = points.select("sheet", "point", "point_order", F.size("variations").cast("long").alias("all_variations_count"), p.dynamic_boost(F.col("point"), F.array_join("scripts", " ")).alias("dynamic_boost"), F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("pos"), F.col("holistic").alias("script"))), F.transform("variations", lambda v, i: F.struct(i.alias("pos"), v.alias("script"))))).alias("v"))
-    texts = features(texts.select("*", "v.pos", "v.script").drop("v"), "script", "s", settings, embedder)
-    rows = join_sheet(left, texts, texts.count())
+    n_texts = points.agg(F.coalesce(F.sum(F.size("variations") + 1), F.lit(0))).first()[0]
+    rows = join_sheet(left, point_rows(points, settings, embedder, embeddings), n_texts)
+    cosine = (lambda x: s.cosine_of_units(x["vector"], F.col("g_vector"))) if embedder else None
     if cosines is not None:
-        rows = rows.join(cosines, ["call_id", "group_id", "point", "pos"], "left")
-        cosine = F.coalesce("cosine", F.lit(0.0))
-    added = p.boost(F.col("point"), F.col("g_date"), F.col("g_number"), F.col("dynamic_boost"), settings.point_boosts)
-    kept = ["call_id", "group_id", "sheet", "speaker", "text", "g_words", "point", "point_order", "all_variations_count", "dynamic_boost", "pos", "script", "s_words"]
-    rows = rows.select(*kept, added.alias("added"), metrics(settings, cosine=cosine).alias("m"))
-    keys = ["call_id", "group_id", "sheet", "speaker", "text", "point", "point_order", "all_variations_count", "dynamic_boost", "added"]
-    item = F.struct("m", "script", "s_words", "g_words")
-    best = F.max_by(F.when(F.col("m.score") > 0, item), F.when((F.col("pos") >= 0) & (F.col("m.score") > 0), F.struct(F.col("m.score"), -F.col("pos"))))
-    grouped = rows.groupBy(*keys).agg(F.max_by(item, F.when(F.col("pos") < 0, F.lit(1))).alias("h"), best.alias("g"))
-    holistic = F.col("h.m.score")
-    granular = F.coalesce(F.col("g.m.score"), F.lit(0.0))
+        found = cosines.groupBy("call_id", "group_id", "point").agg(F.map_from_entries(F.collect_list(F.struct("pos", "cosine"))).alias("_cosines"))
+        rows = rows.join(found, ["call_id", "group_id", "point"], "left")
+        cosine = lambda x: F.coalesce(F.try_element_at(F.col("_cosines"), x["pos"]), F.lit(0.0))
+    group = F.struct(F.col("g_tokens").alias("tokens"), F.col("g_words").alias("words"))
+    scored = lambda x, rouge: metrics(settings, x, group, cosine and cosine(x), rouge)
+    rows = rows.withColumn("added", p.boost(F.col("point"), F.col("g_date"), F.col("g_number"), F.col("dynamic_boost"), settings.point_boosts)).withColumn("_h", F.get("texts", F.lit(0)))
+    rows = rows.withColumn("h", scored(F.col("_h"), s.rouge_l(F.col("_h.clean"), F.col("g_clean")) if settings.use_rouge else None))
+    holistic = F.col("h.score")
+    early = F.lit(False) if settings.language == "CAN" else p.boosted(holistic, F.col("added")) >= settings.cut
+    rows = rows.withColumn("_open", F.when(early, F.array().cast(rows.schema["texts"].dataType)).otherwise(F.slice("texts", F.lit(2), F.greatest(F.size("texts") - 1, F.lit(0)))))
+    # A variation's metrics, its place behind the score, so that the greatest struct is the best score and of equal ones the first.
+    ranked = lambda m, x: F.struct(m["score"].alias("score"), (-x["pos"]).alias("place"), *(m[name].alias(name) for name in METRICS))
+    if settings.use_rouge:
+        rows = rows.withColumn("_rouge", s.rouge_l_each(F.transform("_open", lambda x: x["clean"]), F.col("g_clean")))
+        each = F.transform("_open", lambda x, i: ranked(scored(x, F.get(F.col("_rouge"), i)), x))
+    else:
+        each = F.transform("_open", lambda x: ranked(scored(x, None), x))
+    rows = rows.withColumn("g", F.array_max(F.filter(each, lambda m: m["score"] > 0)))
+    granular = F.coalesce(F.col("g.score"), F.lit(0.0))
     if settings.language == "CAN":
         wins = holistic > granular
         h, g, score = holistic, granular, p.boosted(F.greatest(holistic, granular), F.col("added"))
     else:
         h, g = p.boosted(holistic, F.col("added")), p.boosted(granular, F.col("added"))
-        early = h >= settings.cut
         wins = early | (h > g)
         g = F.when(early, 0.0).otherwise(g)
         score = F.when(wins, h).otherwise(g)
-    won = F.when(wins, F.col("h")).otherwise(F.col("g"))
-    metric = lambda name: F.coalesce(won["m"][name], F.lit(0.0)).alias(name)
-    return grouped.select(
-        *keys[:-1], score.alias("weighted_score"), F.when(wins, holistic).otherwise(granular).alias("original_score"), F.when(wins, "Holistic").otherwise("Granular").alias("match_type"),
-        F.coalesce(won["script"], F.lit("")).alias("best_variation"), h.alias("holistic_score"), g.alias("granular_score"),
-        metric("semantic"), metric("expanded_overlap"), metric("rouge_l"), metric("keyword_coverage"), F.coalesce(F.array_intersect(won["s_words"], won["g_words"]), F.array().cast("array<string>")).alias("shared"),
+    rows = rows.withColumn("_wins", wins).withColumn("won", F.when(F.col("_wins"), F.col("_h")).otherwise(F.get("texts", 1 - F.col("g.place"))))
+    metric = lambda name: F.coalesce(F.when(F.col("_wins"), F.col(f"h.{name}")).otherwise(F.col(f"g.{name}")), F.lit(0.0)).alias(name)
+    return rows.select(
+        "call_id", "group_id", "sheet", "speaker", "text", "point", "point_order", "all_variations_count", "dynamic_boost", score.alias("weighted_score"),
+        F.when(F.col("_wins"), holistic).otherwise(granular).alias("original_score"), F.when(F.col("_wins"), "Holistic").otherwise("Granular").alias("match_type"),
+        F.coalesce("won.script", F.lit("")).alias("best_variation"), h.alias("holistic_score"), g.alias("granular_score"),
+        *map(metric, METRICS), F.coalesce(F.array_intersect("won.words", "g_words"), F.array().cast("array<string>")).alias("shared"),
     )
 
 
