@@ -5,6 +5,7 @@ Arrow batches are bounded by Spark's own settings (10,000 rows and 64 MB unless
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -54,6 +55,15 @@ def remove(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that nothing refers to any more, which it does when the driver has collected the frames that made them.
+
+    Spark asks for that itself every half hour; a job of many rounds would keep all their files until then.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def lower_ascii(column):
     """A-Z in lower case and nothing else changed, whatever the locale."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkgauge.llm.common import materialize, remove
+from talkgauge.llm.common import materialize, release, remove
 from talkgauge.llm.components import components
 from talkgauge.llm.simhash import RUN_ROWS, SEED, fingerprint, links
 
@@ -235,7 +235,7 @@ def similar_documents(
     depth = min(depth, max(1, math.floor(min_similarity / (1 - min_similarity) + 1e-9))) if min_similarity < 1 else depth
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     common, place = _common_shingles(texts, shingle)
-    shared = spark.sparkContext.broadcast((common, place))
+    order = spark.sparkContext.broadcast((common, place))
     fields = {"fp": T.LongType(), "sid": T.LongType(), "n": T.IntegerType(), "p": T.IntegerType(), "keys": T.ArrayType(T.LongType())}
     kind = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *(T.StructField(name, x) for name, x in fields.items())])
 
@@ -246,7 +246,7 @@ def similar_documents(
                 read = part.column(1).to_pylist()
                 sets = [shingle_set(x, shingle) for x in read]
                 prefix = [prefix_length(len(x), min_similarity) for x in sets]
-                keys = [first_shingles(x, n + depth - 1, *shared.value).view(np.int64) for x, n in zip(sets, prefix)]
+                keys = [first_shingles(x, n + depth - 1, *order.value).view(np.int64) for x, n in zip(sets, prefix)]
                 columns = [pa.array([fingerprint(x, 3) for x in read], pa.int64()), pa.array([_name(x) for x in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int32()), pa.array(prefix, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *fields])
 
@@ -271,15 +271,18 @@ def similar_documents(
             remove(spark, roots, alike)
             roots = new
         remove(spark, pairs)
+        release(spark)
 
     def rooted(rows: DataFrame) -> DataFrame:
         return rows.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
-    each = distinct.select(F.explode(F.slice("keys", F.lit(1), F.col("p"))).alias("key"), "sid", "n")
+    each = distinct.select(F.explode(F.slice("keys", F.lit(1), F.col("p"))).alias("key"), "sid")
     # Half a key is enough to leave out most that only one set has.
     half = F.col("key").bitwiseAND((1 << 31) - 1).cast("int")
     several = each.groupBy(half.alias("half")).agg(F.count("*").alias("sets")).filter("sets > 1").select("half")
-    keys = materialize(each.withColumn("half", half).join(several, "half", "left_semi").select("key", "sid", "n"), "keys")
+    shared = each.join(several, half == F.col("half"), "left_semi")
+    keys = materialize(shared.join(distinct.select("sid", "n"), "sid").select("key", "sid", "n"), "keys")
+    release(spark)
     for first in rounds:
         linked(_with_first(rooted(keys), first, min_similarity))
 
@@ -306,4 +309,5 @@ def similar_documents(
     named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = materialize(joined.select("sid", "root").join(named, "root").select("sid", "component_id"), "components")
     remove(spark, distinct, keys, usual, roots)
+    release(spark)
     return prints.select("doc_id", "sid").join(ids, "sid").select("doc_id", "component_id")

@@ -103,7 +103,7 @@ def test_links_of_clusters(spark, run_rows, visitors, monkeypatch):
     ids = prints.view(np.int64).tolist()
     table = spark.createDataFrame([(x,) for x in ids], "fp long")
     starts, nodes = sh.runs(table, run_rows)
-    assert (len(starts) > 15) == (run_rows < 100) and (sh.copies(nodes, 2, visitors, 1).max() > 1) == (run_rows < 100)
+    assert (len(starts) > 11) == (run_rows < 100) and (sh.copies(nodes, 2, visitors, 1).max() > 1) == (run_rows < 100)
     roots = {r.node: r.root for r in components_of(sh.links(table, 2, run_rows, visitors)).collect()}
     found = components(prints, 2)
     least = {}
