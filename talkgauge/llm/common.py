@@ -5,13 +5,15 @@ Arrow batches are bounded by Spark's own settings (10,000 rows and 64 MB unless
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
@@ -36,12 +38,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows as a table in the shared folder and reads them back, which cuts lineage.
 
-    Unlike a cached or locally checkpointed frame, the table outlives the executors that wrote it.
+    Unlike a cached or locally checkpointed frame, the table outlives the executors that wrote it. The shuffles that made it
+    are deleted as soon as it is written: a job of many tables would keep them all until the driver collects garbage.
     """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark, schema = df.sparkSession, df.schema
+    path, before = shared_path(spark, name), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:  # the setting holds for frames that are made under it
+        df.select("*").write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(schema).parquet(path)
 
 
 def remove(spark: SparkSession, *tables: DataFrame) -> None:
@@ -55,15 +62,6 @@ def remove(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that nothing refers to any more, which it does when the driver has collected the frames that made them.
-
-    Spark asks for that itself every half hour; a job of many rounds would keep all their files until then.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def lower_ascii(column):
     """A-Z in lower case and nothing else changed, whatever the locale."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -168,7 +168,9 @@ def test_pipeline(spark, sf_dir, docs, tokenizer):
         out = stage(spark, table, sf_dir)
         if name == "packing":
             ids = {doc: [*tokenizer.encode(text, add_special_tokens=False).ids, 1] for doc, text in kept.items()}
-            check_packing(out.collect(), ids)
+            packed = out.collect()
+            check_packing(packed, ids)
+            assert all(list(r.ids) == ids[r.doc_id][r.start : r.start + r.length] for r in packed)
             break
         assert out.columns == table.columns
         rows = {r["doc_id"]: r for r in out.collect()}
@@ -176,15 +178,15 @@ def test_pipeline(spark, sf_dir, docs, tokenizer):
             expected = {d for d, x in kept.items() if any(unicodedata.category(c)[0] == "L" for c in x)}
             assert set(rows) == expected
         elif name == "simhash_dedup":
-            first = {}
-            for d in sorted(kept):
-                first.setdefault(_fingerprint(kept[d]), d)
-            values = np.array(list(first), dtype=np.uint64)
-            assert set(rows) <= set(first.values())
-            close = {first[int(a)] for a in values if (np.bitwise_count(values ^ a) <= 2).sum() > 1}
-            sets = {d: _five_words(kept[d]) for d in first.values()}
-            alike = lambda d, least: any(len(sets[d] & x) >= least * len(sets[d] | x) for e, x in sets.items() if e != d)
-            assert all(d in close or alike(d, 0.65) for d in set(first.values()) - set(rows))
+            # Exactly one document of each component of links at two bits or a similarity of .8: recall and precision are both 1.
+            ids, sets = sorted(kept), {d: _five_words(x) for d, x in kept.items()}
+            values, root = np.array([_fingerprint(kept[d]) for d in ids], dtype=np.uint64), {d: d for d in ids}
+            for n, d in enumerate(ids):
+                for e, close in zip(ids[:n], np.bitwise_count(values[:n] ^ values[n]) <= 2):
+                    if close or len(sets[d] & sets[e]) >= 0.8 * len(sets[d] | sets[e]):
+                        low, high = sorted((root[d], root[e]))
+                        root = {k: low if v == high else v for k, v in root.items()} if low != high else root
+            assert set(rows) == set(root.values()) and len(rows) < len(kept)
         elif name == "decontamination":
             leaked = {d for d, x in kept.items() if any(t in x for t in benchmark.text)}
             assert leaked and not leaked & set(rows) and len(kept) - len(rows) <= 2 * len(leaked)
