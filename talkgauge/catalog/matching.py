@@ -100,35 +100,23 @@ def q_rouge_l_bits(spark, sf_dir):
     return part.select("p_partkey", sim.rouge_l(F.col("a"), F.col("b")).alias("rouge_l"))
 
 
-_REFERENCES = 8
+#: Vectors whose nearest is sought have ids divisible by this; so many of them go out with one pass over the table.
+_EVERY, _BLOCK = 50, 2_000
 
 
 @query(
-    f"SELECT v.vec_id, arg_min(r.vec_id, {{'c': -round(c, 9), 'i': r.vec_id}}) AS nearest, max(round(c, 9)) AS cosine FROM (SELECT v.vec_id, r.vec_id AS rid, list_cosine_similarity(v.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS c "
-    f"FROM embeddings v, embeddings r WHERE r.vec_id < {_REFERENCES}) x JOIN embeddings v USING (vec_id) JOIN embeddings r ON r.vec_id = x.rid GROUP BY v.vec_id"
+    f"WITH scored AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS c FROM embeddings q JOIN embeddings v ON q.vec_id % {_EVERY} = 0 AND v.vec_id <> q.vec_id) "
+    "SELECT query_id, vec_id AS nearest, c AS cosine FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) = 1"
 )
 def q_embedding_cosine(spark, sf_dir):
-    """The most similar of the first eight vectors: a fixed set of references, as a script's points are."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    references = rows.filter(F.col("vec_id") < _REFERENCES).select(F.col("vec_id").alias("rid"), F.col("embedding").alias("r"))
-    scored = rows.crossJoin(F.broadcast(references)).select("vec_id", "rid", F.round(sim.cosine(F.col("embedding"), F.col("r")), 9).alias("c"))  # eight rows
-    return scored.groupBy("vec_id").agg(F.max_by("rid", F.struct("c", -F.col("rid"))).alias("nearest"), F.max("c").alias("cosine"))
-
-
-#: Vectors whose nearest is sought have ids divisible by this; so many of them go out with one pass over the table.
-_EVERY, _BLOCK = 50, 2_000
-
-
-@query()
-def q_embedding_nearest(spark, sf_dir):
     """For each vector of the query set (ids divisible by 50) the most similar of all other vectors."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = rows.filter(F.col("vec_id") % _EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", sim.unit(F.col("embedding")).alias("v"))
+    asked = rows.filter(F.col("vec_id") % _EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     low, high = asked.agg(F.min("query_id"), F.max("query_id")).first()
     step, found = _EVERY * _BLOCK, []
     for start in range(low or 0, (high or 0) + 1, step):
         block = asked.filter(F.col("query_id").between(start, start + step - 1))
-        scored = rows.crossJoin(F.broadcast(block)).filter("vec_id <> query_id").select("query_id", "vec_id", F.round(sim.cosine(F.col("embedding"), F.col("q")), 9).alias("c"))  # a block of fixed size
+        scored = rows.crossJoin(F.broadcast(block)).filter("vec_id <> query_id").select("query_id", "vec_id", F.round(sim.cosine_of_units(F.col("v"), F.col("q")), 9).alias("c"))  # a block of fixed size
         found.append(scored.groupBy("query_id").agg(F.max_by("vec_id", F.struct("c", -F.col("vec_id"))).alias("nearest"), F.max("c").alias("cosine")))
     return reduce(DataFrame.unionAll, found)
 
@@ -174,7 +162,6 @@ def q_overlap_keywords(spark, sf_dir):
 
 # -- TF-IDF ------------------------------------------------------------------------------------
 
-_LEFT = 8
 _GRAMS = "flatten([list_transform(range(1, length(x) - n + 2), lambda i: substr(x, i, n)) for n in [2, 3, 4]])"
 _STOP = sorted(w for w in lexicon.STOPWORDS_EN if 2 <= len(w) <= 4)
 
@@ -187,26 +174,16 @@ _STOP = sorted(w for w in lexicon.STOPWORDS_EN if 2 <= len(w) <= 4)
     f"core AS (SELECT point, term AS gram, max(weight) AS w FROM terms WHERE length(term) BETWEEN 2 AND 4 AND NOT list_contains({sql_list(_STOP)}, term) GROUP BY ALL), "
     f"w AS (SELECT * FROM core UNION ALL SELECT point, unnest({sql_list(_STOP)}) AS gram, 0.0::DOUBLE FROM (SELECT DISTINCT point FROM terms)), "
     "pairs AS (SELECT l.item_id AS left_id, r.item_id AS right_id, r.point, sum(l.x * r.x * coalesce(w.w, 1) * coalesce(w.w, 1)) AS dot FROM vec l JOIN vec r USING (gram) "
-    f"LEFT JOIN w ON w.point = r.point AND w.gram = l.gram WHERE l.item_id < {_LEFT} GROUP BY ALL), "
+    "LEFT JOIN w ON w.point = r.point AND w.gram = l.gram GROUP BY ALL), "
     "norms AS (SELECT v.item_id, p.point, sum(v.x * v.x * coalesce(w.w, 1) * coalesce(w.w, 1)) AS n2 FROM vec v CROSS JOIN (SELECT DISTINCT point FROM vec) p LEFT JOIN w ON w.point = p.point AND w.gram = v.gram GROUP BY ALL) "
     "SELECT left_id, right_id, pairs.point, round(dot / sqrt(a.n2 * b.n2), 9) AS cosine FROM pairs JOIN norms a ON a.item_id = left_id AND a.point = pairs.point JOIN norms b ON b.item_id = right_id AND b.point = pairs.point WHERE dot <> 0"
 )
 def q_tfidf_cosine(spark, sf_dir):
-    """The first eight items against all, fitted on all items, with each right item's point's weights."""
-    return _tfidf(spark, sf_dir, F.col("item_id") < _LEFT)
-
-
-@query()
-def q_tfidf_cosine_all(spark, sf_dir):
-    """All items against all."""
-    return _tfidf(spark, sf_dir, F.lit(True))
-
-
-def _tfidf(spark, sf_dir, chosen):
+    """All items against all, fitted on all items, with each right item's point's weights."""
     tokens = k.business_tokens(k.english_tokens(F.col("text")), "ENG")
     docs = table(spark, sf_dir, "benchmark").select(F.lit("all").alias("call_id"), F.col("item_id"), F.concat(F.lit("P"), (F.col("item_id") % 8).cast("string")).alias("point"), tokens.alias("tokens"))
     idf = tf.inverse_frequencies(docs.select("call_id", F.col("item_id").alias("doc"), "tokens"))
-    left = tf.vectors(docs.filter(chosen).select("call_id", F.col("item_id").alias("left_id"), "tokens"), ["call_id", "left_id"], idf)
+    left = tf.vectors(docs.select("call_id", F.col("item_id").alias("left_id"), "tokens"), ["call_id", "left_id"], idf)
     right = tf.vectors(docs.select("call_id", F.col("item_id").alias("right_id"), "point", "tokens"), ["call_id", "right_id", "point"], idf)
     terms = _terms(spark, sf_dir).groupBy("point", "term").agg(F.max("weight").alias("weight"))
     return tf.weighted_cosine(left, right, tf.gram_weights(terms, lexicon.STOPWORDS_EN)).select("left_id", "right_id", "point", F.round("cosine", 9).alias("cosine"))
@@ -268,6 +245,14 @@ def q_coverage_full(spark, sf_dir):
     return m.coverage(_pairs(spark, sf_dir, settings, HashingEmbedder()), settings)
 
 
+@query(
+    f"SELECT call_id, point AS Required_Discussion_Point, CASE WHEN covered = 'Covered' THEN '✅ Covered' ELSE '❌ Not Covered' END AS Covered, group_id AS Group_ID, speaker AS Speaker, all_variations_count AS All_Variations_Count, match_type FROM {_COVERAGE}"
+)
+def q_detailed_coverage(spark, sf_dir):
+    rows = reports.detailed_coverage(m.coverage(_pairs(spark, sf_dir), SETTINGS))
+    return rows.select("call_id", "Required_Discussion_Point", "Covered", "Group_ID", "Speaker", "All_Variations_Count", "match_type")
+
+
 # -- speakers and views ------------------------------------------------------------------------
 
 
@@ -383,3 +368,13 @@ def q_batch_statistics(spark, sf_dir):
     kpis = reports.coverage_kpis(m.coverage(_pairs(spark, sf_dir), SETTINGS))
     log = kpis.select("call_id", F.when(F.col("covered_points") > 0, "SUCCESS").otherwise("ERROR").alias("status"))
     return rollup.batch_statistics(log).withColumn("success_rate", F.round("success_rate", 6))
+
+
+@query(
+    f"WITH kpis AS (SELECT DISTINCT call_id FROM {_COVERAGE}), roles AS (SELECT call_id, coalesce(max(word_count) FILTER (role = 'Sales'), 0) AS s, coalesce(max(word_count) FILTER (role = 'Customer'), 0) AS c FROM {_ROLES} GROUP BY call_id), "
+    f"joined AS (SELECT call_id, CAST(total_seconds AS DOUBLE) AS t, coalesce(s, 0) AS s, coalesce(c, 0) AS c FROM kpis JOIN {_SECONDS} USING (call_id) LEFT JOIN roles USING (call_id)), "
+    f"flagged AS (SELECT {_sql_flag('t', 'ft')}, {_sql_flag('s', 'fs')}, {_sql_flag('c', 'fc')} FROM joined) "
+    "SELECT count(*) FILTER (ft <> '') AS duration_outliers, count(*) FILTER (fs <> '') AS sales_wc_outliers, count(*) FILTER (fc <> '') AS customer_wc_outliers FROM flagged"
+)
+def q_outlier_counts(spark, sf_dir):
+    return rollup.outlier_counts(q_call_summary(spark, sf_dir))

@@ -11,6 +11,7 @@ from talkgauge.functions import tokens as k
 from talkgauge.operators import routing as r
 from talkgauge.operators import scripts as s
 from talkgauge.operators import terms as tm
+from talkgauge.sources import files
 
 
 def _pieces(x: str, pattern: str) -> str:
@@ -186,3 +187,31 @@ def q_mapping_pick(spark, sf_dir):
 )
 def q_route_files(spark, sf_dir):
     return r.route(_files(spark, sf_dir), _mapping(spark, sf_dir))
+
+
+@query(
+    f"SELECT filename, CASE upper(right(base, 2)) WHEN '_C' THEN 'CAN' WHEN '_M' THEN 'MAN' WHEN '_E' THEN 'ENG' ELSE 'MAN' END AS by_suffix_or_sheet, CASE upper(right(base, 2)) WHEN '_C' THEN 'CAN' WHEN '_M' THEN 'MAN' WHEN '_E' THEN 'ENG' END AS by_suffix "
+    f"FROM (SELECT filename, regexp_replace(filename, '(\\.wav)?\\.(csv|xlsx?)$', '') AS base FROM {_SQL_FILES})"
+)
+def q_language_of_file(spark, sf_dir):
+    return _files(spark, sf_dir).select("filename", r.language_of_file(F.col("filename"), F.lit("Bond_MAN")).alias("by_suffix_or_sheet"), r.language_of_file(F.col("filename")).alias("by_suffix"))
+
+
+_SHEETS = ["Bond_CAN", "New_Product_MAN", "Plain", "_ENG", "Fund_ENG2", "Bond_can"]
+
+
+@query(
+    f"SELECT p_partkey, sheet, nullif(regexp_extract(sheet, '^(.*)_(CAN|MAN|ENG)$', 1), '') AS product, nullif(regexp_extract(sheet, '^(.*)_(CAN|MAN|ENG)$', 2), '') AS language FROM "
+    f"(SELECT p_partkey, [{', '.join(map(quote, _SHEETS))}][CAST(p_partkey % {len(_SHEETS)} + 1 AS INTEGER)] AS sheet FROM part)"
+)
+def q_sheet_parts(spark, sf_dir):
+    """Product and language of sheets by their names."""
+    sheet = F.element_at(F.array(*map(F.lit, _SHEETS)), (F.col("p_partkey") % len(_SHEETS) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", sheet.alias("sheet"), s.sheet_product(sheet).alias("product"), s.sheet_language(sheet).alias("language"))
+
+
+@query(
+    f"SELECT filename, CASE WHEN ends_with(filename, '.wav.csv') THEN left(filename, length(filename) - 8) || '.xlsx' WHEN ends_with(filename, '.csv') THEN left(filename, length(filename) - 4) || '.xlsx' ELSE left(filename, length(filename) - 5) || '_result.xlsx' END AS report FROM {_SQL_FILES}"
+)
+def q_report_names(spark, sf_dir):
+    return files.report_names(_files(spark, sf_dir)).select("filename", "report")

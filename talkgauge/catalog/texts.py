@@ -60,9 +60,10 @@ def q_clean_eng(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.clean(F.col("text"), "ENG").alias("clean"))
 
 
-@query("SELECT doc_id, length(nfc) AS n_chars_nfkc FROM (SELECT doc_id, nfc_normalize(text) AS nfc FROM documents)")
+@query(f"SELECT doc_id, nfc_normalize({sql_width('text')}) AS normal FROM (SELECT doc_id, {quote(_WIDE_FORMS)} || text AS text FROM documents)")
 def q_nfkc(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(t.nfkc(F.col("text"))).cast("long").alias("n_chars_nfkc"))
+    """Whole texts; the SQL composes and folds widths, which is all that NFKC does to these tables and the wide forms put in front."""
+    return table(spark, sf_dir, "documents").select("doc_id", t.nfkc(F.concat(F.lit(_WIDE_FORMS), F.col("text"))).alias("normal"))
 
 
 @query(f"SELECT call_id, row_idx, {sql_contractions('text')} AS expanded FROM {SQL_CALLS}")

@@ -24,9 +24,19 @@ def _without(tokens: Column, words: Iterable[str]) -> Column:
 
 
 def english_tokens(x: Column) -> Column:
-    """Amounts, percentages, numbers with k or x, and words; without single letters and the tokenizer's stopwords."""
-    raw = F.regexp_extract_all(F.lower(t.expand_contractions(t.fold_width(x))), F.lit(f"({lexicon.NUMBER_TOKEN})"), F.lit(1))
-    return _without(F.filter(raw, lambda w: ~F.regexp_like(w, F.lit(r"^\p{L}$"))), lexicon.STOPWORDS_EN_TOKENS)
+    """Amounts, percentages, numbers with k or x, and words, contractions written out; without single letters and the tokenizer's stopwords.
+
+    Contractions are found in the same pass as tokens; texts without an apostrophe are spared that.
+    """
+    lower = F.lower(t.fold_width(x))
+    extract = lambda pattern: F.regexp_extract_all(lower, F.lit(f"({pattern})"), F.lit(1))
+    long = {short.lower(): words.lower().split() for short, words in lexicon.CONTRACTIONS.items()}
+    written = F.create_map(*[y for short, words in sorted(long.items()) for y in (F.lit(short), F.array(*map(F.lit, words)))])
+    found = extract("|".join(rf"\b{short}\b" for short in sorted(long)) + "|" + lexicon.NUMBER_TOKEN)
+    out = F.flatten(F.transform(found, lambda w: F.when(F.contains(w, F.lit("'")), F.element_at(written, w)).otherwise(F.array(w))))
+    raw = F.when(F.contains(x, F.lit("'")), out).otherwise(extract(lexicon.NUMBER_TOKEN))
+    stop = sorted(lexicon.STOPWORDS_EN_TOKENS)
+    return F.filter(raw, lambda w: ~w.isin(stop) & ((F.length(w) > 1) | ~F.regexp_like(w, F.lit(r"^\p{L}$"))))
 
 
 def drop_stopwords(tokens: Column, language: str) -> Column:

@@ -8,11 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkgauge.functions import text as t
 
+#: Rows of a run that are folded in the JVM, which copies the array at each step; longer runs are folded in Python, in one pass.
+LONG_RUN = 500
+_GROUPS = "array<struct<text:string,start_time:string,end_time:string,orig_indices:array<bigint>>>"
+
 
 def speaker_runs(calls: DataFrame) -> DataFrame:
     """Gaps and islands: ``call_id, speaker, run_start, run_end, n_rows, mean_chars`` for each run of consecutive rows."""
@@ -84,6 +89,48 @@ def _backward(groups: Column, most: int, short: int) -> Column:
     return F.aggregate(F.slice(turned, F.lit(2), F.size(turned)), F.slice(turned, 1, 1), step)
 
 
+def fold_rows(rows: list[dict], most: int, short: int) -> list[dict]:
+    """The three passes over a run's rows, as _forward and _backward make them."""
+
+    def merged(a: dict, b: dict) -> dict:
+        return {"text": f"{a['text']} {b['text']}", "start_time": a["start_time"], "end_time": b["end_time"], "orig_indices": [*a["orig_indices"], *b["orig_indices"]]}
+
+    def fits(a: dict, b: dict) -> bool:
+        return len(a["text"]) + len(b["text"]) + 1 <= most
+
+    def forward(groups: list[dict], heed: bool) -> list[dict]:
+        out = groups[:1]
+        for x in groups[1:]:
+            last = out[-1]
+            if fits(last, x) and not (heed and last["text"].endswith(t.PUNCTUATION)):
+                both = merged(last, x)
+                out[-1] = both if x["end_time"] is not None else both | {"end_time": last["end_time"]}
+            else:
+                out.append(x)
+        return out
+
+    turned = forward(rows, True)[::-1]
+    out = turned[:1]  # its last item is the first group so far
+    for x in turned[1:]:
+        after = out[-1]
+        if fits(x, after) and len(after["text"]) < short:
+            both = merged(x, after)
+            out[-1] = both if x["start_time"] is not None else both | {"start_time": after["start_time"]}
+        else:
+            out.append(x)
+    return forward(out[::-1], False)
+
+
+def _folded(pieces: Column, most: int, short: int) -> Column:
+    @F.arrow_udf(_GROUPS)
+    def fold(runs: pa.Array) -> pa.Array:
+        return pa.array([None if run is None else fold_rows(run, most, short) for run in runs.to_pylist()], runs.type)
+
+    whole = _forward(_backward(_forward(pieces, most, True), most, short), most, False)
+    long = F.size(pieces) > LONG_RUN
+    return F.when(long, fold(F.when(long, pieces).cast(_GROUPS))).otherwise(F.when(~long, whole).cast(_GROUPS))
+
+
 def dialogue_groups(calls: DataFrame, max_chars: int = 150, short_chars: int = 20, legacy_nan: bool = False) -> DataFrame:
     """Groups of a speaker's neighbouring rows: ``call_id, group_id, speaker, text, start_idx, end_idx,
     start_time, end_time, orig_indices``.
@@ -95,8 +142,7 @@ def dialogue_groups(calls: DataFrame, max_chars: int = 150, short_chars: int = 2
     item = F.struct("row_idx", "text", "start_time", "end_time", F.array("row_idx").alias("orig_indices"))
     runs = speaker_changes(rows).groupBy("call_id", "run").agg(F.first("speaker").alias("speaker"), F.array_sort(F.collect_list(item)).alias("rows"))
     pieces = F.transform("rows", lambda r: F.struct(r["text"].alias("text"), r["start_time"].alias("start_time"), r["end_time"].alias("end_time"), r["orig_indices"].alias("orig_indices")))
-    folded = _forward(_backward(_forward(pieces, max_chars, True), max_chars, short_chars), max_chars, False)
-    groups = runs.select("call_id", "speaker", F.explode(folded).alias("g"))
+    groups = runs.select("call_id", "speaker", pieces.alias("pieces")).select("call_id", "speaker", F.explode(_folded(F.col("pieces"), max_chars, short_chars)).alias("g"))
     groups = groups.select("call_id", "speaker", "g.*", F.array_min("g.orig_indices").alias("start_idx"), F.array_max("g.orig_indices").alias("end_idx"))
     number = F.row_number().over(Window.partitionBy("call_id").orderBy("start_idx")).cast("long")
     return groups.select("call_id", number.alias("group_id"), "speaker", "text", "start_idx", "end_idx", "start_time", "end_time", "orig_indices")

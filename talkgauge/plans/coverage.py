@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkgauge.config import Settings
-from talkgauge.operators import grouping, matching, reports, rollup
+from talkgauge.operators import grouping, layout, matching, reports, rollup
 from talkgauge.operators import scripts as scripting
 from talkgauge.operators.embedding import Embedder
 from talkgauge.operators.tfidf import gram_weights, inverse_frequencies, vectors, weighted_cosine
@@ -31,6 +31,8 @@ class Coverage:
     embedder: Embedder | None = None
     #: CAN's term weights: point, term, weight.
     terms: DataFrame | None = None
+    #: Stored vectors: clean_text, embedding. With them each distinct text that has none is encoded once, for all calls.
+    embeddings: DataFrame | None = None
 
     def __post_init__(self):
         require(self.calls, "call_id", "row_idx", "speaker", "text", "start_time", "end_time")
@@ -61,7 +63,7 @@ class Coverage:
     def pairs(self) -> DataFrame:
         """Every group with every point of its sheet; results and views share it."""
         cosines = self.tfidf_cosines(self.terms) if self.terms is not None else None
-        return matching.pairwise(self.groups, self.points, self.settings, self.embedder, cosines).persist()
+        return matching.pairwise(self.groups, self.points, self.settings, self.embedder, cosines, self.embeddings).persist()
 
     @cached_property
     def coverage(self) -> DataFrame:
@@ -94,6 +96,11 @@ class Coverage:
     def summary(self) -> DataFrame:
         return rollup.call_summary(self.tasks, self.kpis, reports.role_counts(self.speakers))
 
+    def reports(self, names: DataFrame) -> DataFrame:
+        """The calls' workbooks as laid-out rows; ``names``: call_id, report."""
+        sheets = [row[0] for row in self.tasks.select("script_sheet").distinct().orderBy("script_sheet").collect()]  # script sheets, not calls
+        return layout.call_reports(names, self.kpis, self.speakers, self.detailed, [self.view(sheet) for sheet in sheets], self.sentences)
+
     def tfidf_cosines(self, terms: DataFrame) -> DataFrame:
         """``call_id, group_id, point, pos, cosine``: the weighted TF-IDF cosine of groups and script texts (pos -1 is the holistic text).
 

@@ -57,18 +57,94 @@ def test_nearest_of_all_vectors(spark, monkeypatch, block):
     rows = [(i, [math.sin(i * k + 1) for k in range(1, 6)]) for i in range(120)]
     monkeypatch.setattr(matching, "_BLOCK", block)
     monkeypatch.setattr(matching, "table", lambda *_: spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    got = {r.query_id: (r.nearest, r.cosine) for r in QUERIES["q_embedding_nearest"](spark, "").collect()}
+    got = {r.query_id: (r.nearest, r.cosine) for r in QUERIES["q_embedding_cosine"](spark, "").collect()}
     vectors = dict(rows)
     expected = {q: max(((round(_cosine(vectors[q], v), 9), -i) for i, v in rows if i != q)) for q in (0, 50, 100)}
     assert {q: n for q, (n, _) in got.items()} == {q: -i for q, (_, i) in expected.items()} and all(abs(got[q][1] - c) < 1e-8 for q, (c, _) in expected.items())
 
 
-def test_tfidf_of_all_items(spark, sf_dir, duck):
-    """The registered SQL without its bound on the left side."""
-    from talkgauge.catalog import ORACLES
-
-    sql = ORACLES["q_tfidf_cosine"]
-    assert f"WHERE l.item_id < {matching._LEFT} " in sql
-    few = {(r.left_id, r.right_id): r.cosine for r in QUERIES["q_tfidf_cosine_all"](spark, sf_dir).collect()}
-    theirs = duck.execute(f"SELECT left_id, right_id, cosine FROM ({sql.replace(f'WHERE l.item_id < {matching._LEFT} ', '')})").fetchall()
-    assert few == pytest.approx({(a, b): c for a, b, c in theirs}, abs=1e-6) and max(a for a, _ in few) >= matching._LEFT
+def _lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+    return row[-1]
+
+
+def _fold(x):
+    import re
+
+    return re.sub("[.。]+", ".", re.sub("[,，]+", ",", x)).strip()
+
+
+def _plain_pairs(spark, sf_dir):
+    """Groups and the texts of their sheets' points, from the queries that SQL checks."""
+    from talkgauge.catalog import matching as c
+
+    groups = c._sheet_groups(spark, sf_dir).collect()
+    points = {}
+    for r in c._points(spark, sf_dir).collect():
+        points.setdefault(r.sheet, []).append(r)
+    return groups, points
+
+
+def test_sequence_metric_of_all_pairs(spark, sf_dir):
+    """Every group with every text of its sheet, by a plain table of common subsequences for a sample of rows, and all of the rows are there."""
+    import random
+
+    groups, points = _plain_pairs(spark, sf_dir)
+    texts = {(g.call_id, g.group_id): g.text for g in groups}
+    scripts = {(sheet, p.point, i - 1): x for sheet, each in points.items() for p in each for i, x in enumerate([p.holistic, *p.variations])}
+    got = {(r.call_id, r.group_id, r.point, r.pos): r.rouge_l for r in QUERIES["q_rouge_l"](spark, sf_dir).collect()}
+    assert set(got) == {(g.call_id, g.group_id, point, pos) for g in groups for sheet, point, pos in scripts if sheet == g.sheet}
+    sheet_of = {g.call_id: g.sheet for g in groups}
+    for key in random.Random(1).sample(sorted(got), 300):
+        call, group, point, pos = key
+        a, b = _fold(scripts[sheet_of[call], point, pos]), _fold(texts[call, group])
+        common = _lcs(a, b)
+        assert abs(got[key] - (2 * common / (len(a) + len(b)) if common else 0)) < 1e-12
+
+
+def test_coverage_by_all_metrics(spark, sf_dir):
+    """q_coverage_full against plain code: vectors by the default embedder, common subsequences, token overlap and keywords, for the points of two calls."""
+    from pyspark.sql import functions as F
+
+    from talkgauge import lexicon
+    from talkgauge.catalog import matching as c
+    from talkgauge.functions import similarity as sim
+    from talkgauge.operators.embedding import HashingEmbedder
+    from talkgauge.operators.matching import features
+
+    groups, points = _plain_pairs(spark, sf_dir)
+    chosen = sorted({g.call_id for g in groups})[:2]
+    settings, embed = c.Settings("ENG"), HashingEmbedder()
+    own = features(c._sheet_groups(spark, sf_dir).filter(F.col("call_id").isin(chosen)), "text", "g", settings).collect()
+    texts = {x for sheet in {g.sheet for g in own} for p in points[sheet] for x in [p.holistic, *p.variations]}
+    side = {r.x: r for r in features(spark.createDataFrame([(x,) for x in texts], "x string"), "x", "s", settings).collect()}
+    vector = lambda x: embed([x])[0].astype(float)
+    vectors = {x: vector(r.s_clean) for x, r in side.items()}
+    w, got = lexicon.SIMILARITY_WEIGHTS["ENG"], {(r.call_id, r.point): r for r in QUERIES["q_coverage_full"](spark, sf_dir).filter(F.col("call_id").isin(chosen)).collect()}
+    for call in chosen:
+        mine = [g for g in own if g.call_id == call]
+        for p in points[mine[0].sheet]:
+            best = None
+            for g in sorted(mine, key=lambda g: g.group_id):
+                mark = vector(g.g_clean)
+
+                def score(x):
+                    s = side[x]
+                    a, b = set(s.s_tokens), set(g.g_tokens)
+                    keys = set(s.s_keys)
+                    cosine = float(vectors[x] @ mark)
+                    common = sim.lcs_length(s.s_clean, g.g_clean)
+                    rouge = 2 * common / (len(s.s_clean) + len(g.g_clean)) if common else 0
+                    return w["semantic"] * cosine + w["expanded_overlap"] * (len(a & b) / len(a | b) if a | b else 0) + w["rouge_l"] * rouge + w["keyword_coverage"] * (len(keys & set(g.g_words)) / len(keys) if keys else 0)
+
+                h = score(p.holistic)
+                total = h if h >= settings.cut else max(h, *(score(x) for x in p.variations), 0)
+                if best is None or total > best[0] + 1e-9:
+                    best = (total, g.group_id)
+            row = got[call, p.point]
+            assert abs(row.weighted_score - best[0]) < 1e-5 and (row.covered == "Covered") == (best[0] >= settings.cut)
+    assert len(got) == sum(len(points[next(g.sheet for g in own if g.call_id == call)]) for call in chosen)

@@ -182,3 +182,21 @@ def test_embeddings(spark):
     found = with_vectors(spark.createDataFrame([("one text",), ("new",), ("new",)], "t string"), "t", table, embedder)
     assert found.filter("vector IS NULL").count() == 0 and found.count() == 3
     assert abs(float((embedder(["abc"])[0] ** 2).sum()) - 1) < 1e-6 and not embedder(["", "a"]).any()
+
+
+def test_long_runs_fold_as_short_ones(spark, monkeypatch):
+    """Runs folded in Python make the same groups as those folded in the JVM."""
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for call in range(6):
+        for i in range(120):
+            text = " ".join(rng.choice(["yes", "ok.", "the bank", "we cover this product", "please confirm?", "x" * 70]) for _ in range(rng.randint(1, 4)))
+            rows.append((str(call), i, "A" if call % 2 else rng.choice("AB"), text, None if rng.random() < 0.2 else f"00:{i:02d}", None if rng.random() < 0.2 else f"01:{i:02d}"))
+    calls = spark.createDataFrame(rows, "call_id string, row_idx long, speaker string, text string, start_time string, end_time string")
+    both = []
+    for most in (10**6, 3):
+        monkeypatch.setattr(g, "LONG_RUN", most)
+        both.append(sorted(map(tuple, g.dialogue_groups(calls).collect()), key=repr))
+    assert both[0] == both[1] and len(both[0]) > 100

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from talkgauge import schemas
 from talkgauge.config import Settings
-from talkgauge.plans.batch import build_term_importance, run_batch, summarize_only
+from talkgauge.plans.batch import build_script_vectors, build_term_importance, distinct_scripts, run_batch, summarize_only, write_distinct_scripts
 from talkgauge.plans.coverage import Coverage
 from talkgauge.sources import files, xlsx
 from talkgauge.streaming import incremental
@@ -82,6 +82,40 @@ def test_batch(spark, folder, scripts, tmp_path):
     assert spark.read.json(str(tmp_path / "log")).first().batch_summary.total == 4
 
 
+def test_reports_stored_vectors_and_errors(spark, folder, scripts, tmp_path):
+    """A workbook for each call and one for the batch; vectors are looked up first; every file is in the log, with the reason of an error."""
+    mapping = spark.createDataFrame([("1", "Bond", None, 1), ("3", "Bond", None, 2), ("4", "Bond", None, 3), ("5", None, None, 4)], schemas.MAPPING)
+    more = spark.createDataFrame([("x.csv",), ("2_x_Z.csv",), ("5_x_E.csv",)], "filename string")
+    names = files.list_transcripts(spark, str(folder)).unionByName(more)
+    build_script_vectors(scripts, "ENG", str(tmp_path / "vectors"))
+    stored = spark.read.parquet(str(tmp_path / "vectors"))
+    assert stored.count() == stored.select("clean_text").distinct().count() > 0
+    calls = files.transcripts(spark, str(folder))
+    log = run_batch(spark, calls, names, mapping, scripts, str(tmp_path / "out"), embeddings=stored, workbooks=True)
+    got = {r.filename: (r.status, r.reason and r.reason.split()[1], r.language_name) for r in log.collect()}
+    assert got["1_x_E.csv"] == ("SUCCESS", None, "English") and got["3_x_M.csv"] == ("SUCCESS", None, "Mandarin") and got["4_x_E.csv"] == ("ERROR", "groups,", "English")
+    assert got["2_x_C.csv"][1] == "sample" and got["x.csv"][1] == got["2_x_Z.csv"][1] == "name" and got["5_x_E.csv"][0] == "ERROR" and len(got) == 7
+    plain = run_batch(spark, calls, names, mapping, scripts, str(tmp_path / "plain"))
+    scores = lambda path: {(r.call_id, r.point): round(r.weighted_score, 6) for r in spark.read.parquet(str(tmp_path / path / "ENG/coverage")).collect()}
+    assert plain.count() == 7 and scores("out") == scores("plain")
+    with zipfile.ZipFile(tmp_path / "out/ENG/reports/1_x_E.xlsx") as book:
+        assert list(xlsx.sheets(book)) == ["Executive Summary", "Coverage Analysis", "Original Call Text"]
+        summary, view, text = (list(xlsx.read_sheet(book, name)) for name in xlsx.sheets(book))
+    first = [row[0] if row else None for row in summary]
+    assert first[0] == "A. Overall Performance KPIs" and "B. Key Insights - Speaker View" in first and "C. Detailed Coverage List" in first
+    assert ["Total Points Checked", "2"] in summary and ["Total Call Duration", "00:00:20"] in summary and ["Compliance Coverage Rate (%)", "100.0%"] in summary
+    assert [row[0] for row in summary if row and row[0] in ("Sales", "Customer")] == ["Sales", "Customer"]
+    at = first.index("C. Detailed Coverage List") + 2
+    assert summary[at][:3] == ["Required_Discussion_Point", "Standard_Script", "Covered"] and [row[0] for row in summary[at + 1 :]] == ["Refund", "Greeting"]
+    assert view[0][:3] == ["group_id", "speaker", "call_text"] and "Refund_Hit" in view[0] and len(view) == 4
+    assert text[0][0] == "original_row" and [row[0] for row in text[1:]] == ["0", "1", "2"]
+    rolled = [c for _, _, c in xlsx.records(str(tmp_path / "out/reports/Summarized_Analysis_Report.xlsx"), None)]
+    assert {c["Sample No"] for c in rolled} == {"1", "3"} and set(rolled[0]) >= {"Coverage Rate (%)", "Customer WC Outlier"}
+    assert spark.read.parquet(str(tmp_path / "out/outliers")).first().duration_outliers == 0
+    write_distinct_scripts(scripts, str(tmp_path / "dedup"))
+    assert sum(1 for _ in xlsx.records(str(tmp_path / "dedup/scripts_deduplicated.xlsx"), None)) == distinct_scripts(scripts).count()
+
+
 def test_views_of_a_plan(spark, folder, scripts):
     tasks = spark.createDataFrame([("1_x_E.csv", "Bond_ENG", "Sales Call")], "call_id string, script_sheet string, call_type string")
     calls = files.transcripts(spark, str(folder)).filter("call_id = '1_x_E.csv'")
