@@ -70,7 +70,7 @@ def call_reports(names: DataFrame, kpis: DataFrame, speakers: DataFrame, detaile
     of = lambda df: df.join(names, "call_id")
     summary, reports = "Executive Summary", names.select("report")
     metrics = of(kpis).select("report", F.posexplode(F.array(
-        F.array(text("Total Call Duration"), text(F.col("total_duration"))), F.array(text("Compliance Coverage Rate (%)"), text(F.concat(F.format_number("coverage_rate", "0.0"), F.lit("%")))),
+        F.array(text("Total Call Duration"), text(F.col("total_duration"))), F.array(text("Compliance Coverage Rate (%)"), text(F.format_string("%.1f%%", F.col("coverage_rate")))),
         F.array(text("Total Points Checked"), text(F.col("total_points"))), F.array(text("Covered Points"), text(F.col("covered_points"))), F.array(text("Uncovered Risk Points"), text(F.col("uncovered_points"))),
     )).alias("at", "cells"))
     out = [
