@@ -36,8 +36,8 @@ LONG = 16
 #: Places of a long template whose windows are indexed.
 ANCHORS = 16
 MIN_CONTAINMENT = 0.8
-#: Bands of templates that are broadcast at most (40 bytes each and the shingles of short templates); beyond it the join is a shuffle join.
-BROADCAST_BANDS = 1_000_000
+#: Bands of templates that are broadcast at most (40 bytes each), and shingles of templates (some 40 bytes each); beyond either the joins are shuffle joins.
+BROADCAST_BANDS, BROADCAST_SHINGLES = 500_000, 500_000
 #: Of each permutation, the number that hashes are XORed with: the high bits part them, the rest is the golden ratio's.
 PERMUTATIONS = [((i << 60) | (i * 0x9E3779B97F4A7C15 & (1 << 60) - 1)) - (1 << 64 if i >> 3 else 0) for i in range(BANDS * ROWS)]
 
@@ -101,19 +101,19 @@ def template_table(spark: SparkSession, templates: dict[str, str] | DataFrame) -
 
 
 def template_bands(table: DataFrame) -> DataFrame:
-    """``band, template_id, t_window, shingles``: bands of long templates' windows, and single hashes of short ones (without a window)."""
+    """``band, template_id, t_window``: bands of long templates' windows, and single hashes of short ones (without a window)."""
     n = F.col("n") - SHINGLE + 1
     long = n >= LONG
     last = n - WINDOW
     spread = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(ANCHORS - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(STEP - 1)), lambda j: F.floor(i * (last + 1 - STEP) / (ANCHORS - 1)).cast("int") + j)))
     starts = F.when(last + 1 <= ANCHORS * STEP, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(spread)
-    windows = _windows(table.filter(long).select("*", F.explode(starts).alias("start")), "template_id", "shingles")
-    banded = windows.select("template_id", "shingles", _window().alias("t_window"), F.explode(F.array(*window_bands())).alias("band"))
+    windows = _windows(table.filter(long).select("template_id", "hashes", "n", F.explode(starts).alias("start")), "template_id")
+    banded = windows.select(F.explode(F.array(*window_bands())).alias("band"), "template_id", _window().alias("t_window"))
     # Of a fifth of the distinct shingles and one more, a text that has four fifths of them holds one.
     hashed = F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("n") - SHINGLE), lambda i: F.xxhash64(*[F.get(F.col("hashes"), i + j) for j in range(SHINGLE)])))
-    short = table.filter(~long).select("template_id", "shingles", hashed.alias("all"))
-    single = short.select("template_id", "shingles", F.lit(None).cast("long").alias("t_window"), F.explode(F.slice("all", F.lit(1), F.floor(F.size("all") * (1 - MIN_CONTAINMENT) + 1e-9).cast("int") + 1)).alias("band"))
-    return banded.union(single).select("band", "template_id", "t_window", "shingles").dropDuplicates(["band", "template_id", "t_window"])
+    short = table.filter(~long).select("template_id", hashed.alias("all"))
+    some = F.slice("all", F.lit(1), F.floor(F.size("all") * (1 - MIN_CONTAINMENT) + 1e-9).cast("int") + 1)
+    return banded.union(short.select(F.explode(some).alias("band"), "template_id", F.lit(None).cast("long").alias("t_window"))).distinct()
 
 
 def _window() -> Column:
@@ -143,14 +143,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, d
     if min_containment < MIN_CONTAINMENT:
         raise ValueError(f"bands are set for a containment of {MIN_CONTAINMENT} and more")
     table = template_table(docs.sparkSession, TEMPLATES if templates is None else templates)
-    bands = template_bands(table)
+    bands, shingles = template_bands(table), table.select("template_id", "shingles")
     rows = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("words"))
-    if bands.count() <= broadcast_bands:
-        hits = text_bands(rows, "doc_id", "words").join(F.broadcast(bands), "band").filter(_first_of_equal())
+    if bands.count() <= broadcast_bands and (table.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= BROADCAST_SHINGLES:
+        hits = text_bands(rows, "doc_id", "words").join(F.broadcast(bands), "band").filter(_first_of_equal()).join(F.broadcast(shingles), "template_id")
     else:  # a text isn't shuffled with each of its bands: only rows and templates that meet are joined with it
         rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "texts")
-        met = text_bands(rows, "row").join(bands.drop("shingles"), "band").filter(_first_of_equal()).select("row", "template_id").distinct()
-        hits = rows.join(met, "row").join(table.select("template_id", "shingles"), "template_id")
+        met = text_bands(rows, "row").join(bands, "band").filter(_first_of_equal()).select("row", "template_id").distinct()
+        hits = rows.join(met, "row").join(shingles, "template_id")
     whole = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     found = hits.select("doc_id", "template_id", F.size("shingles").alias("n_shingles"), whole.alias("whole"), "shingles")
     found = found.select("doc_id", "template_id", "n_shingles", F.size(F.filter("shingles", lambda s: F.contains(F.col("whole"), s))).alias("found_shingles"))
