@@ -27,16 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkgauge.llm.common import materialize, remove
+from talkgauge.llm.common import TEXTS, each_text, materialize, remove
 from talkgauge.llm.components import components
 from talkgauge.llm.simhash import RUN_ROWS, SEED, fingerprint, links
 
 #: Texts whose shingles are counted for the order of keys, the least count of a common shingle, and common shingles at most.
-SAMPLED, COMMON, COMMONS = 5_000, 3, 50_000
+SAMPLED, COMMON, COMMONS = 20_000, 3, 200_000
 #: Sets of a key that a task compares with as many; a key with more is dealt into blocks.
 BLOCK = 4_096
 #: Pairs in different components for each set of a key, beyond which the key is refined, by up to so many shingles in all.
-CROSS, DEPTH = 64, 4
+CROSS, DEPTH = 256, 4
 #: Sets of a key that are compared with all its others, round by round, before all that are in different components by then.
 ROUNDS = (1, 16)
 
@@ -74,7 +74,7 @@ def _common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
 
     def sets(batches):
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in each_text(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, shingle).view(np.int64))], names=["h"])
 
     counts = texts.filter(F.pmod(F.xxhash64("text"), F.lit(scale)) < share).select("text").mapInArrow(sets, "h long").groupBy("h").agg(F.count("*").alias("n"))
@@ -194,8 +194,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, distinct: DataFrame, least: fl
 
     def sets(batches):
         for batch in batches:
-            found = [shingle_set(x, shingle) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["sid", "hashes"])
+            for start in range(0, len(batch), TEXTS):
+                found = [shingle_set(x, shingle) for x in batch.column(0).slice(start, TEXTS).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["sid", "hashes"])
 
     def judge(batches):
         for batch in batches:
@@ -241,8 +242,8 @@ def similar_documents(
 
     def compute(batches):
         for batch in batches:
-            for start in range(0, len(batch), 500):
-                part = batch.slice(start, 500)
+            for start in range(0, len(batch), TEXTS):
+                part = batch.slice(start, TEXTS)
                 read = part.column(1).to_pylist()
                 sets = [shingle_set(x, shingle) for x in read]
                 prefix = [prefix_length(len(x), min_similarity) for x in sets]
