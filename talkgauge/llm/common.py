@@ -7,10 +7,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Texts of a batch that are Python objects at a time.
+TEXTS = 500
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -62,6 +66,12 @@ def remove(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def each_text(column: pa.Array, rows: int = TEXTS) -> Iterator[str | None]:
+    """The texts of a batch's column, of which some rows are Python objects at a time."""
+    for start in range(0, len(column), rows):
+        yield from column.slice(start, rows).to_pylist()
+
+
 def lower_ascii(column):
     """A-Z in lower case and nothing else changed, whatever the locale."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

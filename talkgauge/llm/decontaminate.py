@@ -18,6 +18,7 @@ Repeated documents and items are compared each; empty tables give no rows.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import chain
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkgauge.llm.common import materialize, shared_path
+from talkgauge.llm.common import each_text, materialize, shared_path
 
 #: Masks over eleven words of which seven count; and four words in a row, which any run of 13 matches at 80 % has somewhere.
 SEEDS = ("11101100101", "10110101101", "11010011011", "1111")
@@ -169,7 +170,7 @@ class Items:
             out[t].append(overlap)
         return out
 
-    def groups(self, texts: list[str | None]):
+    def groups(self, texts: Iterable[str | None]):
         """overlaps() over groups of texts of bounded size, in order."""
         group, chars = [], 0
         for text in texts:
@@ -229,7 +230,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     def one(items):
         def find(batches):
             for batch in batches:
-                out = [(doc, o.item, o.matched, o.length, o.text_start, o.item_start) for doc, each in zip(batch.column(0).to_pylist(), items.value.groups(batch.column(1).to_pylist())) for o in each]
+                out = [(doc, o.item, o.matched, o.length, o.text_start, o.item_start) for doc, each in zip(batch.column(0).to_pylist(), items.value.groups(each_text(batch.column(1)))) for o in each]
                 if out:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, row)) for row in out])
 
@@ -256,6 +257,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
 def _clean(block):
     @F.arrow_udf(T.BooleanType())
     def clean(texts: pa.Array) -> pa.Array:
-        return pa.array([not each for each in block.value.groups(texts.to_pylist())], pa.bool_())
+        return pa.array([not each for each in block.value.groups(each_text(texts))], pa.bool_())
 
     return clean

@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import cache
 
@@ -28,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from talkgauge.llm.common import each_text
+
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -94,7 +97,7 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str
     def count(batches):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for label, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for label, x in zip(batch.column(0).to_pylist(), each_text(batch.column(1))):
                 held = total.setdefault(label, np.zeros(buckets, np.int64))
                 for grams in ngrams(code_points(x), buckets, orders):
                     held += np.bincount(grams, minlength=buckets)
@@ -146,7 +149,7 @@ def _words(text: str | None) -> str:
     return " ".join(_WORD.findall(" ".join(x for x in (text or "").split() if not _DIGIT.search(x))))
 
 
-def likelihoods(model: Model, texts: list[str | None]) -> list[float | None]:
+def likelihoods(model: Model, texts: Iterable[str | None]) -> list[float | None]:
     """Of each text's words, the mean log-probability of an n-gram in the likeliest language, over that of a bucket by chance; null without words."""
     out: list[float | None] = []
     for text in texts:
@@ -163,7 +166,7 @@ def known_language(docs: DataFrame, model: Model, least: float = LEAST, text: st
 
     @F.arrow_udf(T.DoubleType())
     def judge(texts: pa.Array) -> pa.Array:
-        return pa.array(likelihoods(shared.value, texts.to_pylist()), pa.float64())
+        return pa.array(likelihoods(shared.value, each_text(texts)), pa.float64())
 
     return docs.filter(judge(F.col(text)) >= least)
 
@@ -183,7 +186,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             labels.extend(found[0])
             scores.extend(found[1])
 
-        for x in texts.to_pylist():
+        for x in each_text(texts):
             if group and chars + len(x or "") > GROUP_CHARS:
                 done()
                 group, chars = [], 0

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from talkgauge.llm.common import each_text
 from talkgauge.llm.tokens import encoder
 
 WINDOW = 2_048
@@ -169,7 +170,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
 
         for batch in batches:
             arrow = batch.column(0).type
-            for document, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer).id_bytes(batch.column(1).to_pylist())):
+            for document, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer).id_bytes(each_text(batch.column(1)))):
                 packer.add(document, ids + end)
                 if len(packer.rows) >= ROWS:
                     yield out()

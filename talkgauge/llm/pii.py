@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from talkgauge.llm.common import each_text
+
 ROUNDS = 10
 KINDS = ("card", "phone", "ssn", "ip", "date", "email")
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -229,7 +231,7 @@ def pseudonymize(docs: DataFrame, key: bytes, text: str = "text", kinds: tuple[s
     def replace(texts: pa.Array) -> pa.Array:
         worker = Pseudonymizer(key, kinds, reverse)
         out = []
-        for x in texts.to_pylist():
+        for x in each_text(texts):
             new, counts = (None, {}) if x is None else worker.text(x)
             out.append({"text": new, "counts": sorted(counts.items())})
         return pa.array(out, arrow)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkgauge.llm.common import materialize, remove
+from talkgauge.llm.common import each_text, materialize, remove
 from talkgauge.llm.components import components
 
 BITS = 64
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text
 
     def compute(batches):
         for batch in batches:
-            prints = [fingerprint(x, shingle, seed) for x in batch.column(1).to_pylist()]
+            prints = [fingerprint(x, shingle, seed) for x in each_text(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(compute, schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkgauge.llm.common import materialize
+from talkgauge.llm.common import each_text, materialize
 from talkgauge.llm.tokens import encoder
 
 #: Lengths in one block of the two-level suffix sum: one sum runs inside blocks, one over block totals.
@@ -31,7 +31,7 @@ def token_lengths(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFr
     def lengths(batches):
         ids = encoder(tokenizer)
         for batch in batches:
-            counts = [len(data) // 4 for data in ids.id_bytes(batch.column(0).to_pylist())]
+            counts = [len(data) // 4 for data in ids.id_bytes(each_text(batch.column(0)))]
             yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64())], names=["n_tokens"])
 
     return docs.select(F.col(text).alias("text")).mapInArrow(lengths, "n_tokens long")

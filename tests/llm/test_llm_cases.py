@@ -7,6 +7,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -547,3 +548,20 @@ def test_operators_name_no_local_folder(spark):
     from talkgauge.llm.common import shared_dir, shared_path
 
     assert shared_path(spark, "x").startswith(shared_dir(spark)) and shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_batches_are_bounded_in_bytes_and_settings_stay(spark):
+    """Long texts make small batches by Spark's own bound, and tables are written without a trace in the session's settings."""
+    from talkgauge.llm.common import materialize
+
+    before = dict(spark.conf.getAll)
+    docs = spark.range(40).coalesce(1).selectExpr("id AS doc_id", "repeat('word ', 1000000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    found = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+    assert len(found) >= 3 and max(found) < 80 << 20
+    table = materialize(docs.groupBy("doc_id").count(), "counts")
+    assert table.count() == 40 and dict(spark.conf.getAll) == before
