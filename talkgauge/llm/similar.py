@@ -156,9 +156,10 @@ def _screened(pairs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
 def _with_first(rows: DataFrame, n: int, least: float) -> DataFrame:
     """``a, b``: sets with up to n sets of their keys, if they share keys enough in that way; pairs that share too few so wait for the last round.
 
-    ``rows``: key, sid, n, root. A key's n sets are found by an aggregate, so no task has all rows of a key.
+    ``rows``: key, sid, n, root, shared. Of each n-th part of a key's sets that is taken of whose keys the greatest share is other sets' too: where copies were
+    changed each in its own way, that is the text that they were made of. They are found by an aggregate, so no task has all rows of a key.
     """
-    first = rows.groupBy("key", F.pmod(F.xxhash64("sid"), F.lit(n)).alias("_part")).agg(F.min(F.struct("sid", "n", "root")).alias("f")).select("key", "f")
+    first = rows.groupBy("key", F.pmod(F.xxhash64("sid"), F.lit(n)).alias("_part")).agg(F.max(F.struct("shared", "sid", "n", "root")).alias("f")).select("key", "f")
     near = (F.col("root") != F.col("f.root")) & (F.least("n", "f.n") >= least * F.greatest("n", "f.n") - 1e-9)
     lower, one, two = F.col("sid") < F.col("f.sid"), F.struct("sid", "n"), F.struct("f.sid", "f.n")
     pairs = rows.join(first, "key").filter(near).select(F.when(lower, one).otherwise(two).alias("x"), F.when(lower, two).otherwise(one).alias("y"))
@@ -281,7 +282,10 @@ def similar_documents(
     half = F.col("key").bitwiseAND((1 << 31) - 1).cast("int")
     several = each.groupBy(half.alias("half")).agg(F.count("*").alias("sets")).filter("sets > 1").select("half")
     shared = each.join(several, half == F.col("half"), "left_semi")
-    keys = materialize(shared.join(distinct.select("sid", "n"), "sid").select("key", "sid", "n"), "keys")
+    shared = materialize(shared, "shared")
+    share = shared.groupBy("sid").agg(F.count("*").alias("k")).join(distinct.select("sid", "n", "p"), "sid").select("sid", "n", F.floor(F.col("k") * 100 / F.col("p")).cast("int").alias("shared"))
+    keys = materialize(shared.join(share, "sid").select("key", "sid", "n", "shared"), "keys")
+    remove(spark, shared)
     for first in rounds:
         linked(_with_first(rooted(keys), first, min_similarity))
 
