@@ -79,7 +79,7 @@ def q_rouge_l(spark, sf_dir):
 
 
 _LCS_CTE = (
-    "WITH RECURSIVE pairs AS (SELECT p_partkey, substr(p_name, 1, 20) AS a, substr(p_type, 1, 20) AS b FROM part), "
+    "WITH RECURSIVE pairs AS (SELECT p_partkey, p_name AS a, p_type AS b FROM part), "
     "dp(p_partkey, i, prev) AS (SELECT p_partkey, 0, list_transform(range(0, length(b) + 1), lambda j: 0) FROM pairs UNION ALL "
     "SELECT d.p_partkey, d.i + 1, list_reduce(list_transform(range(1, length(b) + 1), lambda j: [j]), lambda acc, j: list_concat(acc, [CASE WHEN substr(a, d.i + 1, 1) = substr(b, j[1], 1) THEN d.prev[j[1]] + 1 ELSE greatest(d.prev[j[1] + 1], acc[-1]) END]), [0]) "
     "FROM dp d JOIN pairs USING (p_partkey) WHERE d.i < length(a)) "
@@ -89,14 +89,14 @@ _LCS_CTE = (
 
 @query(_LCS_CTE)
 def q_rouge_l_short(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", F.substring("p_name", 1, 20).alias("a"), F.substring("p_type", 1, 20).alias("b"))
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("a"), F.col("p_type").alias("b"))
     return part.select("p_partkey", sim.rouge_l_short(F.col("a"), F.col("b")).alias("rouge_l"))
 
 
 @query(_LCS_CTE)
 def q_rouge_l_bits(spark, sf_dir):
     """The same rows by the bit-parallel form."""
-    part = table(spark, sf_dir, "part").select("p_partkey", F.substring("p_name", 1, 20).alias("a"), F.substring("p_type", 1, 20).alias("b"))
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("a"), F.col("p_type").alias("b"))
     return part.select("p_partkey", sim.rouge_l(F.col("a"), F.col("b")).alias("rouge_l"))
 
 

@@ -11,7 +11,8 @@ text and of the row's id and not by their order, so copies of a text are chosen
 
 A text that is null or has no letter is ``und`` with score 0; so is every text if nothing was
 learned. Rows with a null label are never learned from. Equal scores go to the first label in
-alphabetical order. Repeated rows are scored each; an empty table gives no rows.
+alphabetical order. Repeated rows are scored each; an empty table gives no rows. Columns are passed on as they are, but for those
+named ``lang_pred``, ``score`` and, in language_id(), ``held_out``, which the results replace. Whole texts are scored, however long.
 """
 
 from __future__ import annotations
