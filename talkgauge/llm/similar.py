@@ -10,7 +10,7 @@ puts shingles that a bounded sample has often last; it decides the cost and not
 Copies: sets that links have joined already aren't compared. Some sets of each key are compared with all its others first (ROUNDS), so that a
 group of near copies is one component before all its pairs would be made. Then keys whose sets are one component are done.
 
-Frequent keys: of the first l - 1 shingles more, similar sets share l, so the sets of a key that would make more than CROSS pairs for each set meet in pairs of that
+Frequent keys: of the first l - 1 shingles more, similar sets share l, so the sets of a key that would make more pairs than rows meet in pairs of that
 key and another one instead, then in threes, and so on up to DEPTH. The sets of a key are compared in blocks of BLOCK sets against blocks, so a task holds a
 bounded number of them, and nothing is dropped.
 """
@@ -35,8 +35,8 @@ from talkgauge.llm.simhash import RUN_ROWS, SEED, fingerprint, links
 SAMPLED, COMMON, COMMONS = 20_000, 3, 200_000
 #: Sets of a key that a task compares with as many; a key with more is dealt into blocks.
 BLOCK = 4_096
-#: Pairs in different components for each set of a key, beyond which the key is refined, by up to so many shingles in all.
-CROSS, DEPTH = 256, 4
+#: Pairs in different components for each set of a key, beyond which the key is refined if that makes fewer rows, by up to so many shingles in all.
+CROSS, DEPTH = 8, 4
 #: Sets of a key that are compared with all its others, round by round, before all that are in different components by then.
 ROUNDS = (1, 16)
 
@@ -169,9 +169,10 @@ def _with_first(rows: DataFrame, n: int, least: float) -> DataFrame:
 
 
 def _crossing(rows: DataFrame) -> DataFrame:
-    """``key, sets, cross``: keys whose sets are in several components, and how many pairs of them are."""
-    each = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
-    return each.groupBy("key").agg(F.sum("c").alias("sets"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.count("*").alias("roots")).filter("roots > 1").select("key", "sets", ((F.col("sets") * F.col("sets") - F.col("squares")) / 2).alias("cross"))
+    """``key, sets, shingles, cross``: keys whose sets are in several components, the shingles of all of them, and how many pairs of them are open."""
+    each = rows.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("shingles"))
+    found = each.groupBy("key").agg(F.sum("c").alias("sets"), F.sum("shingles").alias("shingles"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.count("*").alias("roots"))
+    return found.filter("roots > 1").select("key", "sets", "shingles", ((F.col("sets") * F.col("sets") - F.col("squares")) / 2).alias("cross"))
 
 
 def _refined(rows: DataFrame, distinct: DataFrame, level: int) -> DataFrame:
@@ -291,7 +292,9 @@ def similar_documents(
 
     def dealt(rows: DataFrame, kept: list[str]) -> tuple[DataFrame, DataFrame]:
         """The rows of keys with open pairs as a table: those compared as they are, and those of frequent keys."""
-        rows = materialize(rows.join(_crossing(rooted(rows)), "key").select(*kept, "sets", (F.col("cross") > cross * F.col("sets")).alias("frequent")), "open")
+        refined = (1 - min_similarity) * F.col("shingles")  # rows that refining makes, about
+        many = F.col("cross") > F.greatest(refined, cross * F.col("sets"))
+        rows = materialize(rows.join(_crossing(rooted(rows)), "key").select(*kept, "sets", many.alias("frequent")), "open")
         return rows.filter(~F.col("frequent")), rows.filter("frequent")
 
     usual, frequent = dealt(keys.select("key", "sid", "n", F.array("key").alias("used")), ["key", "sid", "n", "used"])
