@@ -18,9 +18,9 @@ of their own; rows that share the largest id of a payload are all responses. An
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,6 +33,10 @@ from talkgauge.llm.common import materialize, shared_path
 ROW_BYTES, FILE_ROWS = 256 << 10, 128
 #: Bytes of a record in one gzip member at most, so that its length's highest byte is zero.
 MEMBER = (1 << 24) - 1
+#: Of compression; small records gain little from more.
+LEVEL = 1
+#: Bytes that a reader is given at a time.
+STEP = 16 << 10
 END = "\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -109,7 +113,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
 
 def gzip_members(record: bytes, most: int = MEMBER) -> bytes:
     """The record as gzip members, of which all that is longer than a member has several."""
-    return b"".join(gzip.compress(record[i : i + most], 6, mtime=0) for i in range(0, max(1, len(record)), most))
+    return b"".join(zlib.compress(record[i : i + most], LEVEL, 31) for i in range(0, max(1, len(record)), most))
 
 
 def _members(records: DataFrame, row_bytes: int) -> DataFrame:
@@ -140,6 +144,33 @@ def _members(records: DataFrame, row_bytes: int) -> DataFrame:
 # -- reading -----------------------------------------------------------------------------------
 
 
+class Members(io.RawIOBase):
+    """What the gzip members of a file hold, one after the other."""
+
+    def __init__(self, data):
+        self.data, self.at, self.out, self.reader = memoryview(data), 0, memoryview(b""), None
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while not self.out:
+            if self.at >= len(self.data):
+                if self.reader is not None:
+                    raise EOFError("a member ends early")
+                return 0
+            self.reader = self.reader or zlib.decompressobj(31)
+            part = self.data[self.at : self.at + STEP]
+            self.out = memoryview(self.reader.decompress(part))
+            self.at += len(part) - len(self.reader.unused_data)
+            if self.reader.eof:
+                self.reader = None
+        n = min(len(buffer), len(self.out))
+        buffer[:n] = self.out[:n]
+        self.out = self.out[n:]
+        return n
+
+
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each record of an archive."""
     while line := stream.readline():
@@ -177,7 +208,7 @@ def read_records(spark: SparkSession, path: str, keep_payload: bool = True) -> D
         for batch in batches:
             for content in batch.column(0):
                 rows, held = [], 0
-                with io.BufferedReader(gzip.GzipFile(fileobj=pa.BufferReader(content.as_buffer())), 1 << 18) as stream:
+                with io.BufferedReader(Members(content.as_buffer()), 1 << 18) as stream:
                     for headers, block in parse(stream):
                         get, body, fields = headers.get, block, None
                         if get("content-type", "").startswith("application/http"):
