@@ -36,9 +36,9 @@ SAMPLED, COMMON, COMMONS = 20_000, 3, 200_000
 #: Sets of a key that a task compares with as many; a key with more is dealt into blocks.
 BLOCK = 4_096
 #: Pairs in different components for each set of a key, beyond which the key is refined if that makes fewer rows, by up to so many shingles in all.
-CROSS, DEPTH = 8, 4
+CROSS, DEPTH = 2_048, 4
 #: Sets of a key that are compared with all its others, round by round, before all that are in different components by then.
-ROUNDS = (1, 16)
+ROUNDS = (4, 64)
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -87,26 +87,29 @@ def _common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
 # -- candidates --------------------------------------------------------------------------------
 
 
-def _in_keys(rows: DataFrame, least: float) -> DataFrame:
+def _in_keys(rows: DataFrame, least: float, first: int | None = None) -> DataFrame:
     """``a, b, n_a, n_b, h_a, h_b``: pairs of a key's sets, where components differ and sizes allow the similarity.
 
-    ``rows``: key, sid, n, root, h, side; of keys that a bounded number of sets have. Sets of a side 0 or 1 are compared across only.
+    ``rows``: key, sid, n, root, h, side, shared; of keys that a bounded number of sets have. Sets of a side 0 or 1 are compared across only. With ``first``
+    only so many sets of a key are compared with its others: those of whose keys the greatest share is other sets' too, as the text is that copies were made of.
     """
     names = ["a", "b", "n_a", "n_b", "h_a", "h_b"]
 
     def pairs(table: pa.Table):
-        key, sid, n, root, h, side = (table.column(i).to_numpy() for i in range(6))
-        order = np.lexsort((sid, key))
+        key, sid, n, root, h, side, shared = (table.column(i).to_numpy() for i in range(7))
+        order = np.lexsort((sid, -shared, key))
         key, sid, n, root, h, side = (x[order] for x in (key, sid, n, root, h, side))
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         place = np.arange(len(key)) - np.repeat(starts, np.diff(np.append(starts, len(key))))
         at, turn = np.flatnonzero(place > 0), 0
-        while len(at):
+        while len(at) and (first is None or turn < first):
             other = at - place[at] + turn
             keep = (root[at] != root[other]) & (np.minimum(n[at], n[other]) >= least * np.maximum(n[at], n[other]) - 1e-9) & ((side[at] < 0) | (side[at] != side[other]))
             if keep.any():
                 one, two = other[keep], at[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sid[one], sid[two], n[one], n[two], h[one], h[two])], names=names)
+                low = sid[one] < sid[two]
+                a, b = np.where(low, one, two), np.where(low, two, one)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sid[a], sid[b], n[a], n[b], h[a], h[b])], names=names)
             turn += 1
             at = at[place[at] > turn]
 
@@ -127,7 +130,7 @@ def _in_keys(rows: DataFrame, least: float) -> DataFrame:
         if held:
             yield from pairs(pa.Table.from_batches(held))
 
-    return rows.select("key", "sid", "n", "root", "h", "side").repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long, n_a int, n_b int, h_a int, h_b int")
+    return rows.select("key", "sid", "n", "root", "h", "side", "shared").repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long, n_a int, n_b int, h_a int, h_b int")
 
 
 def _needed(least: float):
@@ -187,7 +190,7 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
     count = F.ceil(F.col("sets") / size).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("sid"), count).cast("int")).select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
     side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    return rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "sid", "n", "h", side.alias("side"))
+    return rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "sid", "n", "h", side.alias("side"), F.lit(0).alias("shared"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, distinct: DataFrame, least: float, shingle: int) -> DataFrame:
@@ -285,10 +288,14 @@ def similar_documents(
     shared = each.join(several, half == F.col("half"), "left_semi")
     shared = materialize(shared, "shared")
     share = shared.groupBy("sid").agg(F.count("*").alias("k")).join(distinct.select("sid", "n", "p"), "sid").select("sid", "n", F.floor(F.col("k") * 100 / F.col("p")).cast("int").alias("shared"))
-    keys = materialize(shared.join(share, "sid").select("key", "sid", "n", "shared"), "keys")
+    sizes = shared.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1")
+    keys = materialize(shared.join(share, "sid").join(sizes, "key").select("key", "sid", "n", "shared", "sets"), "keys")
     remove(spark, shared)
+    small, large = keys.filter(F.col("sets") <= block), keys.filter(F.col("sets") > block)
+    alone = [F.lit(0).alias("h"), F.lit(-1).alias("side")]
     for first in rounds:
-        linked(_with_first(rooted(keys), first, min_similarity))
+        pairs = _counted(_in_keys(rooted(small.select("key", "sid", "n", "shared", *alone)), min_similarity, first), min_similarity)
+        linked(pairs.union(_with_first(rooted(large), first, min_similarity)).distinct())
 
     def dealt(rows: DataFrame, kept: list[str]) -> tuple[DataFrame, DataFrame]:
         """The rows of keys with open pairs as a table: those compared as they are, and those of frequent keys."""
