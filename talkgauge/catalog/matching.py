@@ -73,9 +73,7 @@ def _pairs(spark, sf_dir, settings=SETTINGS, embedder=None):
 @query()
 def q_rouge_l(spark, sf_dir):
     """Each group with every script text of its sheet, by the production form: of each point the holistic text (pos -1) and all variations."""
-    texts = _points(spark, sf_dir).select("sheet", "point", F.posexplode(F.concat(F.array("holistic"), "variations")).alias("pos", "script"))
-    rows = m.join_sheet(_sheet_groups(spark, sf_dir), texts)
-    return rows.select("call_id", "group_id", "point", (F.col("pos") - 1).alias("pos"), sim.rouge_l(t.clean(F.col("script"), "ENG"), t.clean(F.col("text"), "ENG")).alias("rouge_l"))
+    return m.rouge_l_pairs(_sheet_groups(spark, sf_dir), _points(spark, sf_dir), "ENG")
 
 
 _LCS_CTE = (

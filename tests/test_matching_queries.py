@@ -186,7 +186,11 @@ def test_pairs_do_not_wait_for_python_with_their_texts(spark, sf_dir):
     assert "ArrowEvalPython" not in _above_join(QUERIES["q_coverage_full"](spark, sf_dir))
 
 
-@pytest.mark.parametrize("name", ["q_coverage_full"])
+def test_sequence_metric_takes_groups_not_pairs(spark, sf_dir):
+    assert "ArrowEvalPython" not in _above_join(QUERIES["q_rouge_l"](spark, sf_dir))
+
+
+@pytest.mark.parametrize("name", ["q_rouge_l", "q_coverage_full"])
 def test_wide_sheets_give_the_same(spark, sf_dir, monkeypatch, name):
     from talkgauge.operators import matching as m
 
