@@ -233,10 +233,10 @@ def pseudonymize(docs: DataFrame, key: bytes, text: str = "text", kinds: tuple[s
         out = []
         for x in each_text(texts):
             new, counts = (None, {}) if x is None else worker.text(x)
-            out.append({"text": new, "counts": sorted(counts.items())})
+            out.append({"text": new if counts else None, "counts": sorted(counts.items())})  # only changed texts come back
         return pa.array(out, arrow)
 
     kept = [F.col(f"`{name}`") for name in docs.columns if name.lower() != "pii_counts"]
     found = docs.select(*kept, replace(F.col(text)).alias("pii_counts"))
-    shown = [F.col("pii_counts.text").alias(name) if name == text else F.col(f"`{name}`") for name in docs.columns if name.lower() != "pii_counts"]
+    shown = [F.coalesce("pii_counts.text", F.col(f"`{name}`")).alias(name) if name == text else F.col(f"`{name}`") for name in docs.columns if name.lower() != "pii_counts"]
     return found.select(*shown, F.col("pii_counts.counts").alias("pii_counts"))
