@@ -226,6 +226,34 @@ def test_frequent_passages_in_different_texts(spark):
     assert si.prefix_length(10, 0.8) == 3 and si.prefix_length(0, 0.8) == 0
 
 
+def test_near_misses_make_few_candidates(spark, monkeypatch):
+    """Texts that share most shingles, all below .8: keys that stand too late for the similarity make no pairs, and copies among them are found."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(104)]
+    rows = []
+    for i in range(200):
+        own = rng.sample(range(5, 100, 5), 3)
+        rows.append((i, " ".join(f"x{i}y{n}" if n in own else w for n, w in enumerate(words))))
+    rows += [(1_000 + i, f"{x} more") for i, x in rows[:20]]
+    made, counted = [], si._counted
+
+    def tally(pairs, *more):
+        made.append(pairs.count())
+        return counted(pairs, *more)
+
+    monkeypatch.setattr(si, "_counted", tally)
+    got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), rounds=()).collect()}
+    prints, sets = [sh.fingerprint(x, 3) % 2**64 for _, x in rows], [_five(x) for _, x in rows]
+    root = list(range(len(rows)))
+    for b in range(len(rows)):
+        for a in range(b):
+            if (prints[a] ^ prints[b]).bit_count() <= 2 or _jaccard(sets[a], sets[b]) >= 0.8:
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    assert [got[i] for i, _ in rows] == [rows[x][0] for x in root] and len(set(root)) > 180
+    assert 20 <= sum(made) <= 5 * len(rows)
+
+
 def test_recall_and_precision_of_changed_words(spark):
     """Random word changes, by exact similarity: every pair of .8 or more is linked and none below it."""
     rng = random.Random(10)
